@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .operators import stats
 from .operators.players import games_per_player
 from .plans import cohorts as C
+from .plans import loads as L
 from .plans import queries as Q
 from .sources.tables import games, user_ids
 
@@ -110,4 +111,15 @@ REGISTRY: dict[str, Query] = {
                                      "left_semi")),
     "extreme_gains": _chain(lambda g, d, m, b, n: C.extreme_gains(n)),
     "c13_months_to_gain": _months_to_gain,
+    # load path
+    "pgn_scan": lambda spark, d: L.pgn_scan(spark, games(spark, d), user_ids(spark, d)),
+    "pgn_tags": lambda spark, d: L.pgn_tags(spark, games(spark, d), user_ids(spark, d)),
+    "assign_user_ids": _gu(L.assign_user_ids),
+    "assign_user_ids_incremental": _gu(L.assign_user_ids_incremental),
+    "encode_players": _gu(L.encode),
+    "games_upsert": _g(L.games_upsert),
+    "users_upsert": _gu(L.users_upsert),
+    "month_manifest": lambda spark, d: L.month_manifest(spark, games(spark, d)),
+    "pending_months": lambda spark, d: L.months_pending(spark, games(spark, d)),
+    "csv_roundtrip": lambda spark, d: L.csv_roundtrip(spark, games(spark, d)),
 }
