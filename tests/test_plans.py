@@ -1,0 +1,42 @@
+"""Plan shape checks: one scan for the un-pivot, pushed range filters, no
+Python UDF in batch plans."""
+
+from elotrail.plans import queries as Q
+from elotrail.registry import REGISTRY
+from elotrail.sources.tables import games
+from tests.conftest import SF_SMALL
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unpivot_scans_once(spark):
+    p = plan(Q.player_view(games(spark, SF_SMALL)))
+    scans = [ln for ln in p.splitlines() if "FileScan parquet" in ln and "orders.parquet" in ln]
+    assert len(scans) == 1
+
+
+def test_year_limit_reaches_scan(spark):
+    # on the stored table the range is a plain column predicate and is pushed
+    df = spark.read.parquet(f"{SF_SMALL}/orders.parquet").withColumnRenamed(
+        "o_orderdate", "date_time").withColumn("event", __import__("pyspark.sql.functions",
+                                                                   fromlist=["lit"]).lit("B"))
+    df = df.withColumn("black", df.o_custkey).withColumn("white", df.o_custkey) \
+        .withColumn("blackelo", df.o_custkey).withColumn("whiteelo", df.o_custkey)
+    p = plan(Q.blitz_pairs(df, 1999))
+    assert "LessThan(o_orderdate,2000-01-01T00:00)" in p
+
+
+def test_player_filter_pushed(spark):
+    df = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    from pyspark.sql import functions as F
+    p = plan(df.filter((F.col("o_custkey") == 3) | (F.col("o_orderkey") == 5)))
+    assert "Or(EqualTo(o_custkey,3),EqualTo(o_orderkey,5))" in p
+
+
+def test_no_python_in_batch_plans(spark):
+    for name in ("q04_games_per_player", "c10_gain_percentile", "c05_band_stats",
+                 "q11_daily_rating", "assign_user_ids"):
+        p = plan(REGISTRY[name](spark, SF_SMALL))
+        assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
