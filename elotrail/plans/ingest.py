@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.keys import assign_ids, encode_players, name_appearances
 from ..operators.upsert import upsert_ignore
@@ -25,6 +26,7 @@ from ..sources.pgn import encode_games, parse_tags, read_pgn
 
 ORDER = ("file", "block", "pos")
 PARTITION = "event_month"
+STORED_GAMES_SCHEMA = T.StructType(GAMES_SCHEMA.fields + [T.StructField(PARTITION, T.StringType())])
 
 
 @dataclass
@@ -56,14 +58,14 @@ def init_tables(spark: SparkSession, root: str) -> Tables:
     t = Tables(root)
     if _read_or_none(spark, t.users, USERS_SCHEMA) is None:
         spark.createDataFrame([], USERS_SCHEMA).write.mode("append").parquet(t.users)
-    if _read_or_none(spark, t.games, GAMES_SCHEMA) is None:
+    if _read_or_none(spark, t.games, STORED_GAMES_SCHEMA) is None:
         empty = spark.createDataFrame([], GAMES_SCHEMA).withColumn(PARTITION, F.lit(""))
         empty.write.mode("append").partitionBy(PARTITION).parquet(t.games)
     return t
 
 
 def load_games(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(Tables(root).games)
+    return spark.read.schema(STORED_GAMES_SCHEMA).parquet(Tables(root).games)
 
 
 def load_users(spark: SparkSession, root: str) -> DataFrame:
