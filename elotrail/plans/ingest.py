@@ -87,8 +87,14 @@ def with_partition(games: DataFrame) -> DataFrame:
 
 def ingest(spark: SparkSession, paths, root: str) -> dict:
     """Load PGN dumps into the tables under ``root``; returns row counts."""
+    return ingest_tags(spark, parse_tags(read_pgn(spark, paths)), root)
+
+
+def ingest_tags(spark: SparkSession, tags: DataFrame, root: str) -> dict:
+    """Shared by batch ingest and the streaming ``foreachBatch`` sink: parsed
+    tag rows (with their input order) -> new users, new games, rejects."""
     t = init_tables(spark, root)
-    tags = parse_tags(read_pgn(spark, paths)).checkpoint()  # lineage cut, reused twice
+    tags = tags.checkpoint()  # lineage cut: the text is decoded once, reused twice
     existing_users = load_users(spark, root)
     new_users = valid_usernames(assign_ids(name_appearances(tags), existing_users))
     new_users = new_users.checkpoint()

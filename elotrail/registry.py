@@ -122,4 +122,11 @@ REGISTRY: dict[str, Query] = {
     "month_manifest": lambda spark, d: L.month_manifest(spark, games(spark, d)),
     "pending_months": lambda spark, d: L.months_pending(spark, games(spark, d)),
     "csv_roundtrip": lambda spark, d: L.csv_roundtrip(spark, games(spark, d)),
+    # streaming
+    "stream_parse": lambda spark, d: L.stream_parse(spark, games(spark, d), user_ids(spark, d)),
+    "stream_dedup": lambda spark, d: L.stream_dedup(spark, games(spark, d), user_ids(spark, d)),
+    "stream_upsert": lambda spark, d: L.stream_upsert(spark, games(spark, d), user_ids(spark, d)),
+    "stream_replay": lambda spark, d: L.stream_replay(spark, games(spark, d), user_ids(spark, d)),
+    "stream_assemble": lambda spark, d: L.stream_assemble(spark, games(spark, d),
+                                                          user_ids(spark, d)),
 }

@@ -44,6 +44,7 @@ def render_tags(games: DataFrame, users: DataFrame) -> DataFrame:
     g = games.join(uw, "white").join(ub, "black")
     return g.select(
         F.col("site").alias("_key"),
+        F.col("date_time").alias("_ts"),
         _map(F.col("event"), EVENT_NAMES).alias("Event"),
         F.concat(F.lit(SITE_PREFIX), F.col("site")).alias("Site"),
         F.col("_wname").alias("White"), F.col("_bname").alias("Black"),
@@ -81,15 +82,16 @@ def render_records(tags: DataFrame) -> DataFrame:
                    F.lit("1. e4 { [%eval 0.17] } 1... e5 { [%eval 0.2] } 2. Nf3 "))\
         .otherwise(F.lit("1. e4 e5 2. Nf3 Nc6 "))
     text = F.concat_ws("\n", *lines)
-    return tags.select("_key", F.concat(text, F.lit("\n\n"), moves, F.col("Result"),
+    return tags.select("_key", "_ts", F.concat(text, F.lit("\n\n"), moves, F.col("Result"),
                                         F.lit("\n")).alias("value"))
 
 
 def write_dump(records: DataFrame, path: str | None = None, files: int = 4,
-               compression: str = "bzip2") -> str:
-    """Write records as ``files`` compressed text files ordered by game id."""
+               compression: str = "bzip2", order: str = "_key", mode: str = "overwrite") -> str:
+    """Write records as ``files`` compressed text files ordered by game id
+    (or by time with ``order="_ts"``, as real monthly dumps are)."""
     spark = records.sparkSession
     out = path or scratch_path(spark, "pgn")
-    (records.repartitionByRange(files, "_key").sortWithinPartitions("_key")
-     .select("value").write.mode("overwrite").option("compression", compression).text(out))
+    (records.repartitionByRange(files, order, "_key").sortWithinPartitions(order, "_key")
+     .select("value").write.mode(mode).option("compression", compression).text(out))
     return out
