@@ -86,12 +86,13 @@ def render_records(tags: DataFrame) -> DataFrame:
                                         F.lit("\n")).alias("value"))
 
 
-def write_dump(records: DataFrame, path: str | None = None, files: int = 4,
+def write_dump(records: DataFrame, path: str | None = None, files: int | None = None,
                compression: str = "bzip2", order: str = "_key", mode: str = "overwrite") -> str:
     """Write records as ``files`` compressed text files ordered by game id
     (or by time with ``order="_ts"``, as real monthly dumps are)."""
     spark = records.sparkSession
     out = path or scratch_path(spark, "pgn")
+    files = files or spark.sparkContext.defaultParallelism
     (records.repartitionByRange(files, order, "_key").sortWithinPartitions(order, "_key")
      .select("value").write.mode(mode).option("compression", compression).text(out))
     return out
