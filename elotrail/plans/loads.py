@@ -29,8 +29,45 @@ def _before(split: str = SPLIT):
     return F.col("date_time") < F.lit(split).cast("timestamp_ntz")
 
 
+_DUMPS: dict[tuple[int, int], str] = {}
+
+
 def dump_of(games: DataFrame, users: DataFrame) -> str:
-    return write_dump(render_records(render_tags(games, users)))
+    """Rendered dump of these games; rendered once per input and process
+    (the rendering is deterministic, the queries only read the files)."""
+    from ..session import exists
+    key = (games.semanticHash(), users.semanticHash())
+    path = _DUMPS.get(key)
+    if path is None or not exists(path):
+        path = _DUMPS[key] = write_dump(render_records(render_tags(games, users)))
+    return path
+
+
+# P3-P10, each applied to the raw tag text parsed from a rendered dump:
+# key -> (raw tag columns, column function, name of the games column it restores)
+def _code_fns():
+    from ..functions import codes as K
+    return {
+        "event_code": (["Event"], K.event_code, "event"),
+        "result_code": (["Result"], K.result_code, "result"),
+        "termination_code": (["Termination"], K.termination_code, "termination"),
+        "time_control": (["TimeControl"], K.time_control, "timecontrol"),
+        "rating_parse": (["WhiteRatingDiff"], K.rating_parse, "whiteratingdiff"),
+        "site_id": (["Site"], K.site_id, "game_id"),
+        "game_timestamp": (["UTCDate", "UTCTime"], K.game_timestamp, "date_time"),
+        "analyzed_flag": (["moves"], K.analyzed_flag, "analyzed"),
+    }
+
+
+def pgn_code(spark: SparkSession, games: DataFrame, users: DataFrame, key: str) -> DataFrame:
+    """One P-row function over the raw tags of the whole rendered dump:
+    (game id, raw text, parsed value)."""
+    raw_cols, fn, out = _code_fns()[key]
+    tags = parse_tags(read_pgn(spark, dump_of(games, users)))
+    raw = raw_cols[0] if len(raw_cols) == 1 else None
+    raw_col = F.col(raw) if raw else F.concat_ws(" ", *raw_cols)
+    return tags.select(F.regexp_extract("Site", r"org/(.*)", 1).alias("site"),
+                       raw_col.alias("raw"), fn(*[F.col(c) for c in raw_cols]).alias(out))
 
 
 def pgn_scan(spark: SparkSession, games: DataFrame, users: DataFrame) -> DataFrame:
@@ -128,6 +165,20 @@ BRACKET_SCHEMA = T.StructType([T.StructField("elo_bracket", T.StringType()),
                                T.StructField("total_games", T.LongType())])
 
 
+def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: run SQL reports over the registered views into named CSV folders,
+    then read one of them back."""
+    from ..sources.results import run_queries
+    from ..sources.tables import register_views
+    register_views(spark, sf_dir)
+    out = run_queries(spark, ["SELECT event, count(*) AS count FROM games GROUP BY event",
+                              "SELECT count(*) AS games FROM games"],
+                      scratch_path(spark, "reports"), names=["per_event", "total"])
+    schema = T.StructType([T.StructField("event", T.StringType()),
+                           T.StructField("count", T.LongType())])
+    return read_result(spark, out["per_event"], schema)
+
+
 def csv_roundtrip(spark: SparkSession, games: DataFrame) -> DataFrame:
     """K5 + S7: a report written as CSV with header and read back typed."""
     path = write_result(games_per_bracket(games), scratch_path(spark, "csv"))

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.dates import date_parts
+from .functions.ratings import bracket_label, bracket_lower, start_band
 from .operators import stats
 from .operators.players import games_per_player
 from .plans import cohorts as C
@@ -122,6 +124,17 @@ REGISTRY: dict[str, Query] = {
     "month_manifest": lambda spark, d: L.month_manifest(spark, games(spark, d)),
     "pending_months": lambda spark, d: L.months_pending(spark, games(spark, d)),
     "csv_roundtrip": lambda spark, d: L.csv_roundtrip(spark, games(spark, d)),
+    "csv_export": L.csv_export,
+    # per-row functions
+    **{k: (lambda key: lambda spark, d: L.pgn_code(spark, games(spark, d), user_ids(spark, d),
+                                                    key))(k) for k in L._code_fns()},
+    "elo_bracket": _g(lambda g: g.select(
+        "site", bracket_label(F.least("whiteelo", "blackelo")).alias("elo_bracket"),
+        bracket_lower(F.least("whiteelo", "blackelo")).alias("bracket_lower"))),
+    "date_parts": _g(lambda g: g.select("site", *date_parts(F.col("date_time")),
+                                        F.year("date_time").alias("year"))),
+    "start_band": _chain(lambda g, d, m, b, n: m.filter(F.col("months_since_start") == 0)
+                         .select("player", "rating", start_band(F.col("rating")).alias("band"))),
     # streaming
     "stream_parse": lambda spark, d: L.stream_parse(spark, games(spark, d), user_ids(spark, d)),
     "stream_dedup": lambda spark, d: L.stream_dedup(spark, games(spark, d), user_ids(spark, d)),
