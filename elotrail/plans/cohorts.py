@@ -10,7 +10,7 @@ partial aggregates or the range-sliced order statistics of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import months_since_start
@@ -24,12 +24,19 @@ from .queries import daily_rating
 PERCENTILES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
 
 
+def _first_value(value: str, order: str):
+    """The player's value at the smallest ``order`` -- a window over the
+    player's own rows (at most one per day or month), so it reuses the
+    partitioning by player instead of a self-join."""
+    return F.min_by(value, order).over(Window.partitionBy("player"))
+
+
 def daily_curve(daily: DataFrame) -> DataFrame:
     """Band by day-0 rating, mean +- CI per (days since start, band)."""
-    start = daily.filter(F.col("days_since_start") == 0).select(
-        "player", start_band(F.col("min_elo")).alias("band"))
-    banded = daily.join(start, "player", "inner").filter(F.col("band").isNotNull())
-    return mean_ci(banded, ["days_since_start", "band"], "min_elo")
+    banded_rows = daily.withColumn(
+        "band", start_band(_first_value("min_elo", "days_since_start"))
+    ).filter(F.col("band").isNotNull())
+    return mean_ci(banded_rows, ["days_since_start", "band"], "min_elo")
 
 
 def monthly_rating(daily: DataFrame) -> DataFrame:
@@ -43,12 +50,13 @@ def banded(monthly: DataFrame) -> DataFrame:
     """Monthly series with the starting band (month-0 rating, half-open);
     players outside 800-2399 are dropped (F12).
 
-    The band is attached with a join on player against the month-0 rows
-    (one row per player); both sides are partitioned by player."""
-    start = monthly.filter(F.col("months_since_start") == 0).select(
-        "player", start_band(F.col("rating")).alias("band"),
-        F.col("rating").alias("start_rating"))
-    return (monthly.join(start, "player", "inner").filter(F.col("band").isNotNull())
+    Month 0 always exists (the start day is day 0), so the start rating is
+    the value at the player's smallest month: a window on the partitioning
+    by player that the daily series already has -- no join, no shuffle."""
+    start = _first_value("rating", "months_since_start")
+    return (monthly.withColumn("start_rating", start)
+            .withColumn("band", start_band(F.col("start_rating")))
+            .filter(F.col("band").isNotNull())
             .withColumn("band_lower", band_lower(F.col("band"))))
 
 
