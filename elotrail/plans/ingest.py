@@ -22,6 +22,7 @@ from ..operators.keys import assign_ids, encode_players, name_appearances
 from ..operators.upsert import upsert_ignore
 from ..operators.validate import complete_games, split_rejects, valid_games, valid_usernames
 from ..schema import GAMES_COLUMNS, GAMES_SCHEMA, USERS_SCHEMA
+from ..session import ensure_checkpoint_dir
 from ..sources.pgn import encode_games, parse_tags, read_pgn
 
 ORDER = ("file", "block", "pos")
@@ -93,6 +94,7 @@ def ingest(spark: SparkSession, paths, root: str) -> dict:
 def ingest_tags(spark: SparkSession, tags: DataFrame, root: str) -> dict:
     """Shared by batch ingest and the streaming ``foreachBatch`` sink: parsed
     tag rows (with their input order) -> new users, new games, rejects."""
+    ensure_checkpoint_dir(spark)
     t = init_tables(spark, root)
     tags = tags.checkpoint()  # lineage cut: the text is decoded once, reused twice
     existing_users = load_users(spark, root)
