@@ -150,13 +150,18 @@ def blitz_pairs(games: DataFrame, until_year: int, event: str = "B") -> DataFram
 
 
 # --- Q13-Q17 ------------------------------------------------------------------
-def _titled_max(games: DataFrame, side: str, nonbot: bool, event: str | None):
-    g = games
-    if nonbot:
-        g = g.filter(F.col(f"{side}title") != "BOT")  # NULL titles drop out
-    if event:
-        g = g.filter(F.col("event") == event)
-    return g.select(F.max(f"{side}elo")).scalar()
+def _titled_maxima(games: DataFrame, nonbot: bool, event: str | None):
+    """Both colours' maxima in one scan (one scalar sub-query of a struct).
+    ``title <> 'BOT'`` is false for NULL titles, so only titled players count."""
+    def side_max(side):
+        cond = F.lit(True)
+        if nonbot:
+            cond = cond & (F.col(f"{side}title") != "BOT")
+        if event:
+            cond = cond & (F.col("event") == event)
+        return F.max(F.when(cond, F.col(f"{side}elo"))).alias(side)
+    m = games.select(F.struct(side_max("black"), side_max("white"))).scalar()
+    return m["black"], m["white"]
 
 
 def rating_records(games: DataFrame, users: DataFrame, nonbot: bool = False,
@@ -164,8 +169,7 @@ def rating_records(games: DataFrame, users: DataFrame, nonbot: bool = False,
     """Q13-Q15: games holding the highest rating of either colour, with both
     names.  The maxima are scalar sub-queries; the (tiny) filtered result is
     joined to the dimension twice -- AQE broadcasts it at run time."""
-    bmax = _titled_max(games, "black", nonbot, event)
-    wmax = _titled_max(games, "white", nonbot, event)
+    bmax, wmax = _titled_maxima(games, nonbot, event)
     hit = games.filter((F.col("blackelo") == bmax) | (F.col("whiteelo") == wmax))
     ub = users.select(F.col("id").alias("_bid"), F.col("username").alias("black_name"))
     uw = users.select(F.col("id").alias("_wid"), F.col("username").alias("white_name"))

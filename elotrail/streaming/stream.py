@@ -92,7 +92,8 @@ def replay_lines(spark: SparkSession, dump_paths, out: str) -> str:
         F.lit(0).alias("partition"),
         F.monotonically_increasing_id().alias("offset"),
         F.col("value")).filter(F.trim("value") != "")
-    log.write.mode("append").parquet(out)
+    # ordered by (key, offset) so the log's file order is the topic order
+    log.orderBy("key", "offset").write.mode("append").parquet(out)
     return out
 
 
