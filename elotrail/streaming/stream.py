@@ -92,8 +92,11 @@ def replay_lines(spark: SparkSession, dump_paths, out: str) -> str:
         F.lit(0).alias("partition"),
         F.monotonically_increasing_id().alias("offset"),
         F.col("value")).filter(F.trim("value") != "")
-    # ordered by (key, offset) so the log's file order is the topic order
-    log.orderBy("key", "offset").write.mode("append").parquet(out)
+    # Like a topic partition: all messages of a key in one file, in offset
+    # order (a file stream orders files by modification time only, so a key
+    # spread over files written by parallel tasks could arrive out of order).
+    log.repartition("key").sortWithinPartitions("key", "offset") \
+        .write.mode("append").parquet(out)
     return out
 
 
