@@ -15,6 +15,11 @@ def stage(df: DataFrame, n: int | None = None, *keys: str) -> DataFrame:
     return r.persist(StorageLevel.DISK_ONLY)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable lineage cut into the shared ``spark.checkpoint.dir``."""
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Reliable lineage cut: written once as a Parquet table below the shared
+    ``spark.checkpoint.dir`` and read back (columnar, survives executor loss;
+    cheaper than an RDD checkpoint of serialised rows)."""
+    from ..session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,6 @@
 """Batch ingest: PGN dumps -> ``user_ids`` + ``games`` (+ rejects), idempotent.
 
-    records -> tags (checkpointed once: the bz2 text is decoded one time)
+    records -> tags (written once as a lineage cut: the bz2 text is decoded one time)
             -> E1 new users (all names, also of discarded games)
             -> P3-P11 -> F2 complete -> F1 valid -> E2 ids -> F3 rejects
             -> K3 first-wins against the months already stored -> append
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.keys import assign_ids, encode_players, name_appearances
+from ..operators.stage import cut
 from ..operators.upsert import upsert_ignore
 from ..operators.validate import complete_games, split_rejects, valid_games, valid_usernames
 from ..schema import GAMES_COLUMNS, GAMES_SCHEMA, USERS_SCHEMA
@@ -96,16 +97,16 @@ def ingest_tags(spark: SparkSession, tags: DataFrame, root: str) -> dict:
     tag rows (with their input order) -> new users, new games, rejects."""
     ensure_checkpoint_dir(spark)
     t = init_tables(spark, root)
-    tags = tags.checkpoint()  # lineage cut: the text is decoded once, reused twice
+    tags = cut(tags, "tags")  # lineage cut: the text is decoded once, reused twice
     existing_users = load_users(spark, root)
     new_users = valid_usernames(assign_ids(name_appearances(tags), existing_users))
-    new_users = new_users.checkpoint()
+    new_users = cut(new_users, "new-users")
     new_users.write.mode("append").parquet(t.users)
     users = load_users(spark, root)
     good, bad = games_from_tags(tags, users)
     fresh = upsert_ignore(with_partition(good), load_games(spark, root), "site",
                           ORDER, prune_col=PARTITION)
-    fresh = fresh.select(*GAMES_COLUMNS, PARTITION).checkpoint()
+    fresh = cut(fresh.select(*GAMES_COLUMNS, PARTITION), "new-games")
     fresh.write.mode("append").partitionBy(PARTITION).parquet(t.games)
     bad.write.mode("append").parquet(t.rejects)
     return {"users_added": new_users.count(), "games_added": fresh.count()}

@@ -40,3 +40,19 @@ def test_no_python_in_batch_plans(spark):
                  "q11_daily_rating", "assign_user_ids"):
         p = plan(REGISTRY[name](spark, SF_SMALL))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+
+
+def test_cohort_chain_shuffles_twice(spark):
+    """daily (player, day) partial aggregate + one exchange by player; the
+    monthly aggregate, both windows and the per-player groupBy reuse it."""
+    p = plan(REGISTRY["c04_net_change"](spark, SF_SMALL))
+    data_shuffles = [ln for ln in p.splitlines()
+                     if "Exchange hashpartitioning" in ln or "Exchange rangepartitioning" in ln]
+    assert len(data_shuffles) == 2, data_shuffles
+
+
+def test_bands_not_single_task_windows(spark):
+    """Percentile ranks within bands never run a window partitioned by band
+    alone over player rows (one task per band)."""
+    p = plan(REGISTRY["c10_gain_percentile"](spark, SF_SMALL))
+    assert "rangepartitioning" in p
