@@ -100,6 +100,30 @@ def replay_lines(spark: SparkSession, dump_paths, out: str) -> str:
     return out
 
 
+def topic_source(spark: SparkSession, servers: str, topic: str,
+                 max_offsets: int | None = 100_000, options: dict | None = None) -> DataFrame:
+    """The line topic as a stream (key, partition, offset, value), from the
+    earliest offset; progress lives in the query checkpoint, not in consumer
+    group offsets.  Needs the Kafka connector on the classpath (absent here)."""
+    r = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
+         .option("subscribe", topic).option("startingOffsets", "earliest"))
+    if max_offsets:
+        r = r.option("maxOffsetsPerTrigger", max_offsets)
+    for k, v in (options or {}).items():
+        r = r.option(k, v)
+    return r.load().select(F.col("key").cast("string").alias("key"), "partition", "offset",
+                           F.col("value").cast("string").alias("value"))
+
+
+def topic_sink(lines: DataFrame, servers: str, topic: str) -> None:
+    """T2 with a broker: write (key, value) messages; key = source file, so
+    each file's lines stay in one partition, in order."""
+    (lines.select(F.col("key").cast("binary").alias("key"),
+                  F.col("value").cast("binary").alias("value"))
+     .write.format("kafka").option("kafka.bootstrap.servers", servers)
+     .option("topic", topic).save())
+
+
 def line_stream(spark: SparkSession, log_dir: str, max_files: int = 1) -> DataFrame:
     """T1 stand-in: the message log as a stream with the topic's columns."""
     return (spark.readStream.schema(LINE_SCHEMA).option("maxFilesPerTrigger", max_files)

@@ -58,3 +58,23 @@ def test_bround_half_even(spark):
     df = spark.createDataFrame([(50.0,), (150.0,), (250.0,), (249.0,)], "d double")
     got = [r[0] for r in df.select(F.bround("d", -2)).collect()]
     assert got == [round(50.0, -2), round(150.0, -2), round(250.0, -2), round(249.0, -2)]
+
+
+def test_first_int_and_day_names(spark):
+    from elotrail.functions.dates import day_name, first_int
+    df = spark.createDataFrame([("3 days",), ("1 year 2 mons",), ("00:00:00",), ("none",)], "t string")
+    assert [r[0] for r in df.select(first_int(F.col("t"))).collect()] == [3, 1, 0, None]
+    d = spark.range(7).select(day_name(F.col("id").cast("int")))
+    assert [r[0] for r in d.collect()][0::6] == ["Sunday", "Saturday"]
+
+
+def test_gain_pivot_matches_long_form(spark):
+    from elotrail.plans import cohorts as C
+    from elotrail.sources.tables import games as G
+    _, _, _, net = C.chain(G(spark, SF_SMALL))
+    long = {(r["band"], float(r["gain"])): r["players"]
+            for r in C.gain_heatmap(net).collect()}
+    wide = C.gain_pivot(net).collect()
+    cells = {(r["band"], float(k)): v for r in wide for k, v in r.asDict().items()
+             if k != "band" and v is not None}
+    assert cells == long
