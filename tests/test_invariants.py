@@ -78,3 +78,19 @@ def test_gain_pivot_matches_long_form(spark):
     cells = {(r["band"], float(k)): v for r in wide for k, v in r.asDict().items()
              if k != "band" and v is not None}
     assert cells == long
+
+
+def test_cumulative_before_across_many_slices(spark):
+    """Groups spanning several range slices get the same positions as a
+    plain cumulative count."""
+    import random
+    from elotrail.operators.ranking import cumulative_before
+    rnd = random.Random(7)
+    rows = [(rnd.choice("abc"), rnd.randint(0, 40), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v int, id int")
+    got = cumulative_before(df, ["g"], ["v", "id"], num_partitions=7).toPandas()
+    pdf = pd.DataFrame(rows, columns=["g", "v", "id"]).sort_values(["g", "v", "id"])
+    pdf["want"] = pdf.groupby("g").cumcount()
+    pdf["total"] = pdf.groupby("g")["id"].transform("count")
+    m = got.merge(pdf, on="id")
+    assert (m["_before"] == m["want"]).all() and (m["_total"] == m["total"]).all()
