@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stage import cut
+
 _PID = "_rk_pid"
 
 
@@ -32,6 +34,10 @@ def cumulative_before(df: DataFrame, group_cols: list[str], order_cols: list[str
     r = (df.withColumn("_rk_w", w.cast("long"))
          .repartitionByRange(n, *keys)
          .withColumn(_PID, F.spark_partition_id()))
+    # The range bounds come from a sample; evaluated twice (running sums and
+    # slice totals) they could differ.  Writing the sliced rows once, slice id
+    # included, makes both sides read the same assignment (and cuts lineage).
+    r = cut(r, "rank-slices")
     # Running sum inside a slice: the window partition is (slice, group), so
     # no task ever holds more than one range slice.
     local_w = (Window.partitionBy(_PID, *group_cols).orderBy(*order_cols)
