@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import months_since_start
 from ..functions.ratings import band_lower, bround_gain, start_band
 from ..operators.players import games_per_player
+from ..operators.stage import cut
 from ..operators.ranking import average_rank_pct, exact_quantiles
 from ..operators.stats import hex_bins, mean_ci, share, snap_nearest
 from .queries import daily_rating
@@ -72,7 +73,11 @@ def net_change(banded_df: DataFrame) -> DataFrame:
 
 def band_stats(net: DataFrame) -> DataFrame:
     """Median, mean, min, max of the final rating and of the net
-    change per band (exact medians via range-sliced ranking)."""
+    change per band (exact medians via range-sliced ranking).
+
+    ``net`` (one row per player) feeds three aggregations; it is written
+    once as a lineage cut instead of being recomputed from the games."""
+    net = cut(net.select("player", "band", "end_rating", "diff"), "net-change")
     basic = net.groupBy("band").agg(
         F.avg("end_rating").alias("mean_rating"), F.avg("diff").alias("mean_diff"),
         F.min("end_rating").alias("min_rating"), F.min("diff").alias("min_diff"),
