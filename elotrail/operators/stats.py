@@ -12,9 +12,10 @@ Z95 = 1.96
 
 
 def share(df: DataFrame, value: str, out: str = "pct") -> DataFrame:
-    """100 * value / total.  Only for already-aggregated frames (a handful
-    of rows): the total is a scalar sub-query, not an unpartitioned window."""
-    total = df.select(F.sum(value)).scalar()
+    """100 * value / total.  Only for already-aggregated frames with a
+    handful of rows (brackets, events, bands): the total is a window over all
+    of them, so the input is computed once."""
+    total = F.sum(value).over(Window.partitionBy())
     return df.withColumn(out, F.lit(100.0) * F.col(value) / total)
 
 
@@ -36,8 +37,8 @@ def histogram(df: DataFrame, col: str, bins: int = 100) -> DataFrame:
 
     Integer arithmetic, so bin edges are exact; min / max are scalar
     sub-queries (one extra pass over the input, no join)."""
-    mn = df.select(F.min(col)).scalar()
-    mx = df.select(F.max(col)).scalar()
+    ext = df.select(F.struct(F.min(col).alias("mn"), F.max(col).alias("mx"))).scalar()
+    mn, mx = ext["mn"], ext["mx"]
     width = mx - mn
     b = F.when(width == 0, F.lit(1)).otherwise(
         F.least(F.floor((F.col(col) - mn) * bins / width) + 1, F.lit(bins)))
@@ -54,13 +55,13 @@ def log_ecdf(df: DataFrame, col: str, bins: int = 100) -> DataFrame:
 
     The running sum is over at most ``bins`` aggregated rows."""
     lx = F.log10(F.col(col))
-    lmn = df.select(F.min(lx)).scalar()
-    lmx = df.select(F.max(lx)).scalar()
+    pos = df.filter(F.col(col) > 0)
+    ext = pos.select(F.struct(F.min(lx).alias("lo"), F.max(lx).alias("hi"),
+                              F.count(F.lit(1)).alias("n"))).scalar()
+    lmn, lmx, total = ext["lo"], ext["hi"], ext["n"]
     b = F.when(lmx == lmn, F.lit(1)).otherwise(
         F.least(F.floor(F.lit(float(bins)) * (lx - lmn) / (lmx - lmn)) + 1, F.lit(bins)))
-    counts = (df.filter(F.col(col) > 0).groupBy(b.cast("int").alias("bin"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    total = df.filter(F.col(col) > 0).select(F.count(F.lit(1))).scalar()
+    counts = pos.groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     return counts.select("bin", "n", (F.sum("n").over(w) / total).alias("cum_share"))
 

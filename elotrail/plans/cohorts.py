@@ -160,12 +160,13 @@ def games_vs_gain(games: DataFrame, net: DataFrame, y: str = "diff",
         m = F.col("months_since_start").cast("double")
         x = F.try_divide(x, m)
         yv = F.try_divide(yv, m) if y == "diff" else yv
-    pts = j.select(x.alias("x"), yv.alias("y")).dropna()
+    pts = cut(j.select(x.alias("x"), yv.alias("y")).dropna(), "hex-points")
     return hex_bins(pts, "x", "y", gridsize=gridsize, log_x=True)
 
 
 def extreme_gains(net: DataFrame, k: int = 5) -> DataFrame:
     """K largest and smallest net changes, k best changes per month."""
+    net = cut(net.select("player", "diff", "months_since_start"), "net-change")
     per_month = F.try_divide(F.col("diff"), F.col("months_since_start"))
     parts = [
         net.orderBy(F.desc("diff"), "player").limit(k).select(
@@ -180,9 +181,15 @@ def extreme_gains(net: DataFrame, k: int = 5) -> DataFrame:
 
 
 # --- chain helpers ------------------------------------------------------------
-def chain(games: DataFrame, sides=("white", "black")):
-    """daily -> monthly -> banded -> net, for one set of games."""
+def chain(games: DataFrame, sides=("white", "black"), materialize: bool = True):
+    """daily -> monthly -> banded -> net, for one set of games.
+
+    The banded monthly series (one row per player and active month) feeds
+    both the curves and the per-player net change; it is written once so the
+    games are read once, whichever of the two a report uses."""
     daily = daily_rating(games, sides=sides)
     monthly = monthly_rating(daily)
     b = banded(monthly)
+    if materialize:
+        b = cut(b, "banded")
     return daily, monthly, b, net_change(b)

@@ -13,6 +13,7 @@ from ..functions.dates import (date_parts, day_name, minute_of_day, time_string)
 from ..functions.ratings import bracket_label, bracket_lower
 from ..operators.players import games_per_player, player_rows
 from ..operators.ranking import exact_quantiles
+from ..operators.stage import cut
 from ..operators.stats import quantile_bin, rank0, share
 
 STABLE_DIFF = 30
@@ -57,7 +58,7 @@ def with_minute_fields(by_minute: DataFrame) -> DataFrame:
 def games_by_halfhour(games: DataFrame, bins: int = 48) -> DataFrame:
     """Games per quantile bin of the minute of day (48 bins), with the
     0-based rank of each bin by games (W3, W4)."""
-    m = with_minute_fields(games_by_minute(games))
+    m = cut(with_minute_fields(games_by_minute(games)), "minutes")  # <= 10,080 rows
     binned = quantile_bin(m, "time_int", bins, "time_group")
     per_bin = binned.groupBy("time_group").agg(
         F.sum("number_of_games").alias("number_of_games"))
@@ -221,7 +222,7 @@ def analyzed_share(games: DataFrame) -> DataFrame:
 
 def games_per_player_stats(games: DataFrame) -> DataFrame:
     """Median / mean / max games per player (exact median, distributed)."""
-    t = games_per_player(games)
+    t = cut(games_per_player(games), "totals")  # one row per player, read three times
     med = exact_quantiles(t, [], "total_games", {"median_games": 0.5})
     return med.select("median_games",
                       t.select(F.avg("total_games")).scalar().alias("mean_games"),

@@ -15,6 +15,7 @@ from .functions.dates import date_parts
 from .functions.ratings import bracket_label, bracket_lower, start_band
 from .operators import stats
 from .operators.players import games_per_player
+from .operators.stage import cut
 from .plans import cohorts as C
 from .plans import loads as L
 from .plans import queries as Q
@@ -88,8 +89,10 @@ REGISTRY: dict[str, Query] = {
     "top_players": _gu(Q.top_players),
     "share_per_bracket": _g(Q.share_per_bracket),
     "share_per_event": _g(Q.share_per_event),
-    "games_histogram": _g(lambda g: stats.histogram(games_per_player(g), "total_games")),
-    "games_log_ecdf": _g(lambda g: stats.log_ecdf(games_per_player(g), "total_games")),
+    "games_histogram": _g(lambda g: stats.histogram(
+        cut(games_per_player(g), "totals"), "total_games")),
+    "games_log_ecdf": _g(lambda g: stats.log_ecdf(
+        cut(games_per_player(g), "totals"), "total_games")),
     # cohorts
     "c01_daily_curve": _g(lambda g: C.daily_curve(Q.daily_rating(g))),
     "c02_monthly_rating": _chain(lambda g, d, m, b, n: m),

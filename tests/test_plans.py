@@ -45,7 +45,9 @@ def test_no_python_in_batch_plans(spark):
 def test_cohort_chain_shuffles_twice(spark):
     """daily (player, day) partial aggregate + one exchange by player; the
     monthly aggregate, both windows and the per-player groupBy reuse it."""
-    p = plan(REGISTRY["c04_net_change"](spark, SF_SMALL))
+    from elotrail.plans import cohorts as C
+    _, _, _, net = C.chain(games(spark, SF_SMALL), materialize=False)
+    p = plan(net)
     data_shuffles = [ln for ln in p.splitlines()
                      if "Exchange hashpartitioning" in ln or "Exchange rangepartitioning" in ln]
     assert len(data_shuffles) == 2, data_shuffles
