@@ -55,6 +55,7 @@ def _read_or_none(spark: SparkSession, path: str, schema) -> DataFrame | None:
         return None
 
 
+
 def init_tables(spark: SparkSession, root: str) -> Tables:
     """K1: create empty tables (declared schemas) if absent."""
     t = Tables(root)
@@ -108,5 +109,9 @@ def ingest_tags(spark: SparkSession, tags: DataFrame, root: str) -> dict:
                           ORDER, prune_col=PARTITION)
     fresh = cut(fresh.select(*GAMES_COLUMNS, PARTITION), "new-games")
     fresh.write.mode("append").partitionBy(PARTITION).parquet(t.games)
-    bad.write.mode("append").parquet(t.rejects)
+    # rejects are keyed by their content, so a re-run adds none twice
+    content = [c for c in bad.columns if c not in ("block", "pos")]
+    bad = bad.withColumn("reject_key", F.sha2(F.to_json(F.struct(*content)), 256))
+    stored = _read_or_none(spark, t.rejects, bad.schema)
+    upsert_ignore(bad, stored, "reject_key", ORDER).write.mode("append").parquet(t.rejects)
     return {"users_added": new_users.count(), "games_added": fresh.count()}

@@ -106,7 +106,9 @@ def test_small_last_file_fully_written(loaded):
 
 def test_rerun_changes_nothing(spark, loaded):
     _, _, g, users, root, d = loaded
+    n_rej = spark.read.parquet(f"{root}/rejects").count()
     again = ingest(spark, [str(d / "db_2013-01.pgn.bz2"), str(d / "db_2013-02.pgn.bz2")], root)
     assert again == {"users_added": 0, "games_added": 0}
     assert load_games(spark, root).count() == len(g)
     assert load_games(spark, root).select(F.countDistinct("site")).first()[0] == len(g)
+    assert spark.read.parquet(f"{root}/rejects").count() == n_rej == 2
