@@ -54,9 +54,13 @@ def game_stream(spark: SparkSession, landing: str, max_files: int = 1) -> DataFr
 
 
 # --- T5 ---------------------------------------------------------------------
-def dedup(games: DataFrame, delay: str = "1 day") -> DataFrame:
+def dedup(games: DataFrame, delay: str = "31 days") -> DataFrame:
     """T5: drop repeated game ids seen within the watermark delay; state is
-    bounded by the watermark (K3 in the sink catches anything later)."""
+    bounded by the watermark (K3 in the sink catches anything later).
+
+    Rows older than the watermark are discarded by Spark as late, so the
+    delay must cover the input's disorder: dumps arrive month by month in
+    time order, hence one month by default."""
     return (games.withColumn("_event_time", F.col("date_time").cast("timestamp"))
             .withWatermark("_event_time", delay)
             .dropDuplicatesWithinWatermark(["site"]).drop("_event_time"))
