@@ -37,10 +37,20 @@ def reject_reason(df: DataFrame):
     return out
 
 
+def with_reason(df: DataFrame) -> DataFrame:
+    """add ``reason`` (NULL = the row satisfies every constraint)."""
+    return df.withColumn("reason", reject_reason(df))
+
+
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected-with-reason) of a frame carrying ``reason``."""
+    return (checked.filter(F.col("reason").isNull()).drop("reason"),
+            checked.filter(F.col("reason").isNotNull()))
+
+
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected-with-reason).  One projection, two filters."""
-    r = df.withColumn("reason", reject_reason(df))
-    return r.filter(F.col("reason").isNull()).drop("reason"), r.filter(F.col("reason").isNotNull())
+    return split_checked(with_reason(df))
 
 
 def valid_usernames(df: DataFrame, col: str = "username") -> DataFrame:

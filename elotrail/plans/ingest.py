@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from ..operators.keys import assign_ids, encode_players, name_appearances
 from ..operators.stage import cut
 from ..operators.upsert import upsert_ignore
-from ..operators.validate import complete_games, split_rejects, valid_games, valid_usernames
+from ..operators.validate import (complete_games, split_checked, valid_games, valid_usernames,
+                                  with_reason)
 from ..schema import GAMES_COLUMNS, GAMES_SCHEMA, USERS_SCHEMA
 from ..session import ensure_checkpoint_dir
 from ..sources.pgn import encode_games, parse_tags, read_pgn
@@ -76,12 +77,15 @@ def load_users(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(USERS_SCHEMA).parquet(Tables(root).users)
 
 
+def check_games(tags: DataFrame, users: DataFrame) -> DataFrame:
+    """Typed, validated (F1, F2), id-encoded rows with the F3 ``reason``."""
+    typed = valid_games(complete_games(encode_games(tags)))
+    return with_reason(encode_players(typed, users))
+
+
 def games_from_tags(tags: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed, validated, id-encoded games and the rejected rows."""
-    typed = valid_games(complete_games(encode_games(tags)))
-    enc = encode_players(typed, users)
-    good, bad = split_rejects(enc)
-    return good, bad
+    return split_checked(check_games(tags, users))
 
 
 def with_partition(games: DataFrame) -> DataFrame:
@@ -104,9 +108,12 @@ def ingest_tags(spark: SparkSession, tags: DataFrame, root: str) -> dict:
     new_users = cut(new_users, "new-users")
     new_users.write.mode("append").parquet(t.users)
     users = load_users(spark, root)
-    good, bad = games_from_tags(tags, users)
-    fresh = upsert_ignore(with_partition(good), load_games(spark, root), "site",
-                          ORDER, prune_col=PARTITION)
+    # encoded once: the accepted games, their months and the rejects all
+    # read this table
+    checked = cut(with_partition(check_games(tags, users)), "checked")
+    good, bad = split_checked(checked)
+    bad = bad.drop(PARTITION)
+    fresh = upsert_ignore(good, load_games(spark, root), "site", ORDER, prune_col=PARTITION)
     fresh = cut(fresh.select(*GAMES_COLUMNS, PARTITION), "new-games")
     fresh.write.mode("append").partitionBy(PARTITION).parquet(t.games)
     # rejects are keyed by their content, so a re-run adds none twice
