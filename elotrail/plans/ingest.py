@@ -83,6 +83,12 @@ def check_games(tags: DataFrame, users: DataFrame) -> DataFrame:
     return with_reason(encode_players(typed, users))
 
 
+def register_tables(spark: SparkSession, root: str) -> None:
+    """S8 for stored tables: ``games`` and ``user_ids`` as SQL views."""
+    load_games(spark, root).createOrReplaceTempView("games")
+    load_users(spark, root).createOrReplaceTempView("user_ids")
+
+
 def games_from_tags(tags: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed, validated, id-encoded games and the rejected rows."""
     return split_checked(check_games(tags, users))
