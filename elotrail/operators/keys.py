@@ -48,8 +48,12 @@ def _dim(users: DataFrame) -> DataFrame:
 
 
 def encode_players(games: DataFrame, users: DataFrame) -> DataFrame:
-    """Replace ``white_name`` / ``black_name`` by user ids (inner joins)."""
+    """Replace ``white_name`` / ``black_name`` by user ids.
+
+    Left joins: a name without an id (missing tag, name too long for the
+    dimension) leaves a NULL id, which the constraint check (F3) turns into
+    a reject with a reason instead of a silently lost game."""
     dim = _dim(users.select("id", "username"))
     w = dim.select(F.col("id").alias("white"), F.col("username").alias("white_name"))
     b = dim.select(F.col("id").alias("black"), F.col("username").alias("black_name"))
-    return games.join(w, "white_name").join(b, "black_name")
+    return games.join(w, "white_name", "left").join(b, "black_name", "left")

@@ -36,6 +36,8 @@ FILE1 = "".join([
     rec("g0013", drop=("ECO",)),
     rec("g0014", drop=("UTCDate",)),
     rec("g0001", moves="1. d4 0-1", Result="0-1"),
+    rec("g0016", White="x" * 31),
+    rec("g0017", drop=("Black",)),
 ])
 FILE2 = rec("g0001", Result="0-1") + rec("g0015", White="erin")
 
@@ -97,6 +99,8 @@ def test_rejects_have_reasons(spark, loaded):
     assert "g0013" not in g and "g0014" not in g
     rej = {r["site"]: r["reason"] for r in spark.read.parquet(f"{root}/rejects").collect()}
     assert rej["g0013"] == "eco is null" and rej["g0014"] == "date_time is null"
+    # no id for a name longer than the dimension allows, or for a missing tag
+    assert rej["g0016"] == "white is null" and rej["g0017"] == "black is null"
 
 
 def test_small_last_file_fully_written(loaded):
@@ -111,4 +115,4 @@ def test_rerun_changes_nothing(spark, loaded):
     assert again == {"users_added": 0, "games_added": 0}
     assert load_games(spark, root).count() == len(g)
     assert load_games(spark, root).select(F.countDistinct("site")).first()[0] == len(g)
-    assert spark.read.parquet(f"{root}/rejects").count() == n_rej == 2
+    assert spark.read.parquet(f"{root}/rejects").count() == n_rej == 4
