@@ -95,7 +95,7 @@ REGISTRY: dict[str, Query] = {
         cut(games_per_player(g), "totals"), "total_games")),
     # cohorts
     "c01_daily_curve": _g(lambda g: C.daily_curve(Q.daily_rating(g))),
-    "c02_monthly_rating": _chain(lambda g, d, m, b, n: m),
+    "c02_monthly_rating": _g(lambda g: C.monthly_rating(Q.daily_rating(g))),
     "c03_banded_rating": _chain(lambda g, d, m, b, n: b),
     "c04_net_change": _chain(lambda g, d, m, b, n: n),
     "c05_band_stats": _chain(lambda g, d, m, b, n: C.band_stats(n)),
@@ -136,8 +136,9 @@ REGISTRY: dict[str, Query] = {
         bracket_lower(F.least("whiteelo", "blackelo")).alias("bracket_lower"))),
     "date_parts": _g(lambda g: g.select("site", *date_parts(F.col("date_time")),
                                         F.year("date_time").alias("year"))),
-    "start_band": _chain(lambda g, d, m, b, n: m.filter(F.col("months_since_start") == 0)
-                         .select("player", "rating", start_band(F.col("rating")).alias("band"))),
+    "start_band": _g(lambda g: C.monthly_rating(Q.daily_rating(g))
+                     .filter(F.col("months_since_start") == 0)
+                     .select("player", "rating", start_band(F.col("rating")).alias("band"))),
     # streaming
     "stream_parse": lambda spark, d: L.stream_parse(spark, games(spark, d), user_ids(spark, d)),
     "stream_dedup": lambda spark, d: L.stream_dedup(spark, games(spark, d), user_ids(spark, d)),
