@@ -38,14 +38,14 @@ def dump_of(games: DataFrame, users: DataFrame) -> str:
     from ..session import exists
     key = (games.semanticHash(), users.semanticHash())
     path = _DUMPS.get(key)
-    if path is None or not exists(path):
+    if path is None or not exists(path, games.sparkSession):
         path = _DUMPS[key] = write_dump(render_records(render_tags(games, users)))
     return path
 
 
 # P3-P10, each applied to the raw tag text parsed from a rendered dump:
 # key -> (raw tag columns, column function, name of the games column it restores)
-def _code_fns():
+def code_functions():
     from ..functions import codes as K
     return {
         "event_code": (["Event"], K.event_code, "event"),
@@ -62,7 +62,7 @@ def _code_fns():
 def pgn_code(spark: SparkSession, games: DataFrame, users: DataFrame, key: str) -> DataFrame:
     """One P-row function over the raw tags of the whole rendered dump:
     (game id, raw text, parsed value)."""
-    raw_cols, fn, out = _code_fns()[key]
+    raw_cols, fn, out = code_functions()[key]
     tags = parse_tags(read_pgn(spark, dump_of(games, users)))
     raw = raw_cols[0] if len(raw_cols) == 1 else None
     raw_col = F.col(raw) if raw else F.concat_ws(" ", *raw_cols)

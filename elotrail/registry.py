@@ -130,7 +130,7 @@ REGISTRY: dict[str, Query] = {
     "csv_export": L.csv_export,
     # per-row functions
     **{k: (lambda key: lambda spark, d: L.pgn_code(spark, games(spark, d), user_ids(spark, d),
-                                                    key))(k) for k in L._code_fns()},
+                                                    key))(k) for k in L.code_functions()},
     "elo_bracket": _g(lambda g: g.select(
         "site", bracket_label(F.least("whiteelo", "blackelo")).alias("elo_bracket"),
         bracket_lower(F.least("whiteelo", "blackelo")).alias("bracket_lower"))),
