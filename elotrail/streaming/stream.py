@@ -147,7 +147,9 @@ def _assemble_group(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
 
     A ``[Event`` line opens a record (dropping an unfinished one: no tag
     leaks); a movetext line starting with '1' closes it; state keeps the
-    open record between micro-batches (at most one game's lines)."""
+    open record between micro-batches (at most one game's lines).  Memory per
+    call is one key's lines of one micro-batch, bounded by
+    ``maxOffsetsPerTrigger`` (topic) or ``maxFilesPerTrigger`` (file log)."""
     pdf = pd.concat(list(batches)).sort_values("offset")
     if state.exists:
         lines_s, first = state.get
