@@ -33,8 +33,8 @@ def user_games(games: DataFrame, users: DataFrame, n: int = 100,
     ``user_ids`` (ids are assigned before games are written)."""
     parts = []
     for side in ("white", "black"):
-        top = (games.filter(F.col(f"{side}ratingdiff") < max_diff)
-               .orderBy("site").limit(n))
+        top = F.broadcast(games.filter(F.col(f"{side}ratingdiff") < max_diff)
+                          .orderBy("site").limit(n))  # n rows: a proven bound
         parts.append(top.join(users, top[side] == users["id"], "inner"))
     return parts[0].unionByName(parts[1])
 
@@ -246,15 +246,15 @@ def top_player_per_event(games: DataFrame, users: DataFrame) -> DataFrame:
     best = t.groupBy("event").agg(
         F.max_by(F.struct("white", "total_games"),
                  F.struct("total_games", -F.col("white"))).alias("b"))
-    best = best.select("event", F.col("b.white").alias("player"),
-                       F.col("b.total_games").alias("total_games"))
+    best = F.broadcast(best.select("event", F.col("b.white").alias("player"),
+                                   F.col("b.total_games").alias("total_games")))  # one per event
     return best.join(users, best["player"] == users["id"]).select(
         "event", "player", "username", "total_games")
 
 
 def top_players(games: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
     """The k most active players with names (top-k before the join)."""
-    t = games_per_player(games).orderBy(F.desc("total_games"), "white").limit(k)
+    t = F.broadcast(games_per_player(games).orderBy(F.desc("total_games"), "white").limit(k))
     return t.join(users, t["white"] == users["id"]).select(
         F.col("white").alias("player"), "username", "total_games")
 
