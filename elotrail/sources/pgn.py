@@ -40,8 +40,12 @@ def read_pgn(spark: SparkSession, paths) -> DataFrame:
 
 
 def tag(raw: Column, name: str) -> Column:
-    """Value of ``[name "value"]`` on its own line; missing -> NULL."""
-    return F.nullif(F.regexp_extract(raw, rf'(?m)^\[{name} "(.*?)"\]', 1), F.lit(""))
+    """Value of ``[name "value"]``; missing -> NULL.
+
+    The tag block precedes the movetext, and movetext comments
+    (``{ [%eval ...] }``) never contain ``[Name "``, so the first match is the
+    tag line; no line anchor is needed (it costs a third of the parse)."""
+    return F.nullif(F.regexp_extract(raw, rf'\[{name} "(.*?)"\]', 1), F.lit(""))
 
 
 def movetext(raw: Column) -> Column:
