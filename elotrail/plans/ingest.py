@@ -110,7 +110,9 @@ def ingest_tags(spark: SparkSession, tags: DataFrame, root: str) -> dict:
     t = init_tables(spark, root)
     tags = cut(tags, "tags")  # lineage cut: the text is decoded once, reused twice
     existing_users = load_users(spark, root)
-    new_users = valid_usernames(assign_ids(name_appearances(tags), existing_users))
+    # names the dimension cannot hold are left out *before* numbering, so the
+    # ids stay dense; their games are rejected (no id) by the check below
+    new_users = assign_ids(valid_usernames(name_appearances(tags)), existing_users)
     new_users = cut(new_users, "new-users")
     new_users.write.mode("append").parquet(t.users)
     users = load_users(spark, root)
