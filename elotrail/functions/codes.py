@@ -61,9 +61,13 @@ def site_id(c: Column) -> Column:
 
 
 def game_timestamp(date: Column, time: Column) -> Column:
-    """UTCDate ``yyyy.MM.dd`` + UTCTime ``HH:mm:ss`` -> timestamp_ntz (NULL if bad)."""
-    return F.try_to_timestamp(F.concat_ws(" ", date, time),
-                              F.lit("yyyy.MM.dd HH:mm:ss")).cast("timestamp_ntz")
+    """UTCDate ``yyyy.MM.dd`` + UTCTime ``HH:mm:ss`` -> timestamp_ntz (NULL if bad).
+
+    Never by way of a zoned timestamp, so the session's zone and its
+    daylight-saving gaps do not matter."""
+    both = F.concat_ws(" ", date, time)
+    iso = F.translate(both, ".", "-").try_cast("timestamp_ntz")
+    return F.when(both.rlike(r"^\d{4}\.\d{2}\.\d{2} \d{2}:\d{2}:\d{2}$"), iso)
 
 
 def analyzed_flag(moves: Column) -> Column:

@@ -1,18 +1,14 @@
-"""Staging a frame that several later steps read."""
+"""Frames that several later steps read, written once to shared storage."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.sql import DataFrame, SparkSession
 
-def stage(df: DataFrame, n: int | None = None, *keys: str) -> DataFrame:
-    """Repartition (by ``keys`` when given) and keep on executor disks.
-
-    Optional: AQE sizes shuffles by itself.  A lost executor only costs a
-    recomputation from lineage; use :func:`cut` where that lineage is long."""
-    r = df.repartition(n, *keys) if n else (df.repartition(*keys) if keys else df)
-    return r.persist(StorageLevel.DISK_ONLY)
+_open = threading.local()  # the tables made inside the innermost ``temporary`` block
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -22,4 +18,20 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     from ..session import scratch_path
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    for made in getattr(_open, "blocks", [])[-1:]:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end of the block the tables cut inside it.  Results are lazy:
+    write them (or collect them) inside the block."""
+    from ..session import remove
+    blocks = _open.blocks = [*getattr(_open, "blocks", []), []]
+    try:
+        yield
+    finally:
+        for path in blocks[-1]:
+            remove(path, spark)
+        _open.blocks = blocks[:-1]

@@ -44,12 +44,19 @@ def histogram(df: DataFrame, col: str, bins: int = 100) -> DataFrame:
         F.least(F.floor((F.col(col) - mn) * bins / width) + 1, F.lit(bins)))
     counts = df.filter(F.col(col).isNotNull()).groupBy(b.cast("int").alias("bin")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("bin", (mn + (F.col("bin") - 1) * width / F.lit(float(bins)))
+    return _all_bins(counts, bins).select("bin", (mn + (F.col("bin") - 1) * width / F.lit(float(bins)))
                          .cast("double").alias("lower"),
                          (mn + F.col("bin") * width / F.lit(float(bins))).cast("double")
                          .alias("upper"), "n")
 
 
+def _all_bins(counts: DataFrame, bins: int) -> DataFrame:
+    """Counts (bin, n) with the empty bins of 1 to ``bins``; none if there are no counts."""
+    every = F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")
+    some = counts.agg(F.count(F.lit(1)).alias("c")).filter("c > 0").select(every)
+    return some.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def log_ecdf(df: DataFrame, col: str, bins: int = 100) -> DataFrame:
     """Log-spaced bins between min and max, cumulative share of rows.
 
@@ -63,12 +70,12 @@ def log_ecdf(df: DataFrame, col: str, bins: int = 100) -> DataFrame:
         F.least(F.floor(F.lit(float(bins)) * (lx - lmn) / (lmx - lmn)) + 1, F.lit(bins)))
     counts = pos.groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("bin", "n", (F.sum("n").over(w) / total).alias("cum_share"))
+    return _all_bins(counts, bins).select("bin", "n", (F.sum("n").over(w) / total).alias("cum_share"))
 
 
 def hex_bins(df: DataFrame, x: str, y: str, gridsize: int = 50, log_x: bool = True) -> DataFrame:
-    """Hexagonal-grid counts (two offset lattices, nearest centre), plus
-    the marginal per lattice cell; extent = data min / max of each axis."""
+    """Hexagonal-grid counts (two offset lattices, nearest centre);
+    extent = data min / max of each axis."""
     xv = F.log10(F.col(x)) if log_x else F.col(x).cast("double")
     yv = F.col(y).cast("double")
     pts = df.select(xv.alias("_x"), yv.alias("_y")).dropna()
@@ -96,6 +103,25 @@ def hex_bins(df: DataFrame, x: str, y: str, gridsize: int = 50, log_x: bool = Tr
                     (F.lit(y0) + (F.col("iy") + off) * sy).alias("y_centre"), "n"))
 
 
+def marginals(df: DataFrame, x: str, y: str, gridsize: int = 50, log_x: bool = True) -> DataFrame:
+    """The counts along each axis of the hexagonal grid: (axis, bin, lower, n), in
+    cells of its width (x) and height (y) from the smallest value on."""
+    xv = F.log10(F.col(x)) if log_x else F.col(x).cast("double")
+    pts = df.select(xv.alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
+    ext = pts.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()  # four numbers
+    out = None
+    for axis, n, lo, hi in (("x", gridsize, ext[0], ext[1]),
+                            ("y", int(gridsize / math.sqrt(3)), ext[2], ext[3])):
+        lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
+        step = (hi - lo) / n if hi > lo else 1.0
+        cell = F.least(F.floor((F.col(f"_{axis}") - F.lit(lo)) / F.lit(step)), F.lit(n - 1))
+        part = (pts.groupBy(cell.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+                .select(F.lit(axis).alias("axis"), "bin",
+                        (F.lit(lo) + F.col("bin") * F.lit(step)).alias("lower"), "n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def snap_nearest(x: Column, targets: list[float]) -> Column:
     """The element of ``targets`` nearest to x; a tie goes to the earlier one."""
     arr = F.array(*[F.lit(float(t)) for t in targets])

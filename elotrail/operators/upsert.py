@@ -18,18 +18,14 @@ def first_per_key(df: DataFrame, key: str, order_cols) -> DataFrame:
 
 
 def upsert_ignore(new: DataFrame, existing: DataFrame | None, key: str,
-                  order_cols, prune_col: str | None = None) -> DataFrame:
+                  order_cols) -> DataFrame:
     """ON CONFLICT DO NOTHING: rows of ``new`` whose key is not yet in
     ``existing``, first occurrence per key.
 
-    With ``prune_col`` (the partition column of ``existing``) the anti-join
-    reads only the partitions the batch touches: their (few) values are
-    fetched first and become a literal ``isin`` that prunes the scan."""
+    The key is global: a row may come back under another month, so the
+    anti-join looks at the key column (and nothing else) of all of
+    ``existing``, not only at the partitions the batch touches."""
     batch = first_per_key(new, key, order_cols)
     if existing is None:
         return batch
-    ex = existing
-    if prune_col:
-        parts = [r[0] for r in batch.select(prune_col).distinct().collect()]
-        ex = existing.filter(F.col(prune_col).isin(parts))
-    return batch.join(ex.select(key), key, "left_anti")
+    return batch.join(existing.select(key), key, "left_anti")

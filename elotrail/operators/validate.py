@@ -18,6 +18,11 @@ def complete_games(df: DataFrame) -> DataFrame:
     return df.filter(F.col("moves").startswith("1"))
 
 
+def no_movetext():
+    """F2 as a condition: nothing closes the record."""
+    return ~F.coalesce(F.col("moves").startswith("1"), F.lit(False))
+
+
 def valid_games(df: DataFrame) -> DataFrame:
     """both ratings and both rating changes present and numeric."""
     return df.dropna(subset=RATING_COLUMNS)

@@ -18,7 +18,8 @@ from ..functions.ratings import band_lower, bround_gain, start_band
 from ..operators.players import games_per_player
 from ..operators.stage import cut
 from ..operators.ranking import average_rank_pct, exact_quantiles
-from ..operators.stats import hex_bins, mean_ci, share, snap_nearest
+from ..operators.stats import hex_bins, marginals, mean_ci, share, snap_nearest
+from ..sources.results import write_result
 from .queries import daily_rating
 
 # Percentiles the trajectories are snapped to.
@@ -96,6 +97,35 @@ def gain_curve(banded_df: DataFrame, net: DataFrame, cutoff: float = -1000) -> D
         .withColumnRenamed("n", "players")
 
 
+def cohort_size(net: DataFrame, cutoffs=(-1000, 100, 800)) -> DataFrame:
+    """Players whose net change exceeds each cutoff (``net`` has one row per
+    player, so they are distinct)."""
+    return (net.select(F.explode(F.array(*[F.lit(c) for c in cutoffs])).alias("cutoff"), "diff")
+            .groupBy("cutoff").agg(F.count_if(F.col("diff") > F.col("cutoff")).alias("players")))
+
+
+def gain_matrix(net: DataFrame) -> DataFrame:
+    """A16 in long form: the wide band x gain matrix with its empty cells as 0."""
+    wide = gain_pivot(net)
+    cells = [c for c in wide.columns if c != "band"]
+    return (wide.unpivot("band", [f"`{c}`" for c in cells], "gain", "players")
+            .select("band", F.col("gain").cast("double").alias("gain"),
+                    F.coalesce("players", F.lit(0)).alias("players")))
+
+
+def export_band_stats(net: DataFrame, out_dir: str) -> dict[str, str]:
+    """K6: one CSV file each of the bands' medians, means, minima and maxima of rating
+    and net change, in the order of the bands."""
+    stats = cut(band_stats(net), "band-stats")
+    out = {}
+    for name in ("median", "mean", "min", "max"):
+        part = stats.select("band", F.col(f"{name}_rating").alias("rating"),
+                            F.col(f"{name}_diff").alias("diff"))
+        order = F.split("band", " ")[0].cast("int")
+        out[name] = write_result(part.orderBy(order).coalesce(1), f"{out_dir}/{name}")
+    return out
+
+
 def gain_heatmap(net: DataFrame) -> DataFrame:
     """C8 + C9 / A15: players and mean months per (band, gain rounded
     half-even to 100) for non-negative net change; long form."""
@@ -115,7 +145,7 @@ def gain_pivot(net: DataFrame, measure: str = "players") -> DataFrame:
 
 def gain_percentile(net: DataFrame) -> DataFrame:
     """Percentile (average rank / n) of the net change within band."""
-    return average_rank_pct(net, ["band"], "diff", "percentile")
+    return average_rank_pct(cut(net, "net-change"), ["band"], "diff", "percentile")
 
 
 def percentile_curves(banded_df: DataFrame, net: DataFrame,
@@ -152,6 +182,16 @@ def games_vs_gain(games: DataFrame, net: DataFrame, y: str = "diff",
     """Hexagonal density of total games (all time controls, log x) vs net
     change or final rating; ``per_month`` divides both by months active
     (zero months -> NULL -> dropped)."""
+    return hex_bins(_games_and_gain(games, net, y, per_month), "x", "y", gridsize=gridsize, log_x=True)
+
+
+def games_vs_gain_marginals(games: DataFrame, net: DataFrame, y: str = "diff",
+                            per_month: bool = False) -> DataFrame:
+    """Counts along each axis of the density."""
+    return marginals(_games_and_gain(games, net, y, per_month), "x", "y")
+
+
+def _games_and_gain(games: DataFrame, net: DataFrame, y: str, per_month: bool) -> DataFrame:
     totals = games_per_player(games).withColumnRenamed("white", "player")
     j = totals.join(net, "player", "inner")
     x = F.col("total_games").cast("double")
@@ -160,8 +200,7 @@ def games_vs_gain(games: DataFrame, net: DataFrame, y: str = "diff",
         m = F.col("months_since_start").cast("double")
         x = F.try_divide(x, m)
         yv = F.try_divide(yv, m) if y == "diff" else yv
-    pts = cut(j.select(x.alias("x"), yv.alias("y")).dropna(), "hex-points")
-    return hex_bins(pts, "x", "y", gridsize=gridsize, log_x=True)
+    return cut(j.select(x.alias("x"), yv.alias("y")).dropna(), "hex-points")
 
 
 def extreme_gains(net: DataFrame, k: int = 5) -> DataFrame:
@@ -181,12 +220,12 @@ def extreme_gains(net: DataFrame, k: int = 5) -> DataFrame:
 
 
 # --- chain helpers ------------------------------------------------------------
-def chain(games: DataFrame, sides=("white", "black"), materialize: bool = True):
+def chain(games: DataFrame, sides=("white", "black"), materialize: bool = False):
     """daily -> monthly -> banded -> net, for one set of games.
 
-    The banded monthly series (one row per player and active month) feeds
-    both the curves and the per-player net change; it is written once so the
-    games are read once, whichever of the two a report uses."""
+    A report that reads both the banded monthly series and the net change made
+    from it has it written once (``materialize``), so the games are read once; a
+    report that reads one of them keeps the partitioning by player instead."""
     daily = daily_rating(games, sides=sides)
     monthly = monthly_rating(daily)
     b = banded(monthly)

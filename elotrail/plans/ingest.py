@@ -3,7 +3,7 @@
     records -> tags (written once as a lineage cut: the bz2 text is decoded one time)
             -> E1 new users (all names, also of discarded games)
             -> P3-P11 -> F2 complete -> F1 valid -> E2 ids -> F3 rejects
-            -> K3 first-wins against the months already stored -> append
+            -> K3 first-wins against all stored ids -> append
 
 Users are appended before games, so a game never refers to a missing user.
 Ids are a deterministic function of (input, existing users): a re-run after
@@ -19,16 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.keys import assign_ids, encode_players, name_appearances
-from ..operators.stage import cut
+from ..operators.stage import cut, temporary
 from ..operators.upsert import upsert_ignore
-from ..operators.validate import (complete_games, split_checked, valid_games, valid_usernames,
+from ..operators.validate import (RATING_COLUMNS, no_movetext, split_checked, valid_usernames,
                                   with_reason)
 from ..schema import GAMES_COLUMNS, GAMES_SCHEMA, USERS_SCHEMA
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, exists
 from ..sources.pgn import encode_games, parse_tags, read_pgn
 
 ORDER = ("file", "block", "pos")
 PARTITION = "event_month"
+FILES_A_MONTH = 8
 STORED_GAMES_SCHEMA = T.StructType(GAMES_SCHEMA.fields + [T.StructField(PARTITION, T.StringType())])
 
 
@@ -50,11 +51,7 @@ class Tables:
 
 
 def _read_or_none(spark: SparkSession, path: str, schema) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - first load: table absent
-        return None
-
+    return spark.read.schema(schema).parquet(path) if exists(path, spark) else None
 
 
 def init_tables(spark: SparkSession, root: str) -> Tables:
@@ -78,9 +75,16 @@ def load_users(spark: SparkSession, root: str) -> DataFrame:
 
 
 def check_games(tags: DataFrame, users: DataFrame) -> DataFrame:
-    """Typed, validated (F1, F2), id-encoded rows with the F3 ``reason``."""
-    typed = valid_games(complete_games(encode_games(tags)))
-    return with_reason(encode_players(typed, users))
+    """Typed, id-encoded rows with the F3 ``reason``.  Games without numeric
+    ratings are dropped (F1); a record that no movetext line closes (F2) is a
+    reject with a reason."""
+    rated = F.col(RATING_COLUMNS[0]).isNotNull()
+    for c in RATING_COLUMNS[1:]:
+        rated = rated & F.col(c).isNotNull()
+    typed = encode_games(tags).filter(no_movetext() | rated)
+    checked = with_reason(encode_players(typed, users))
+    return checked.withColumn("reason", F.when(no_movetext(), "no movetext")
+                              .otherwise(F.col("reason")))
 
 
 def register_tables(spark: SparkSession, root: str) -> None:
@@ -95,7 +99,8 @@ def games_from_tags(tags: DataFrame, users: DataFrame) -> tuple[DataFrame, DataF
 
 
 def with_partition(games: DataFrame) -> DataFrame:
-    return games.withColumn(PARTITION, F.date_format("date_time", "yyyy-MM"))
+    """``yyyy-MM`` from the text form: date_format would go through the session's zone."""
+    return games.withColumn(PARTITION, F.substring(F.col("date_time").cast("string"), 1, 7))
 
 
 def ingest(spark: SparkSession, paths, root: str) -> dict:
@@ -107,26 +112,40 @@ def ingest_tags(spark: SparkSession, tags: DataFrame, root: str) -> dict:
     """Shared by batch ingest and the streaming ``foreachBatch`` sink: parsed
     tag rows (with their input order) -> new users, new games, rejects."""
     ensure_checkpoint_dir(spark)
-    t = init_tables(spark, root)
+    with temporary(spark):
+        return _load(spark, tags, init_tables(spark, root))
+
+
+def _append(df: DataFrame, path: str, *partitions: str) -> int:
+    """Append a cut frame and return its rows; an empty one writes no file."""
+    n = df.count()
+    if n:
+        w = df.write.mode("append")
+        (w.partitionBy(*partitions) if partitions else w).parquet(path)
+    return n
+
+
+def _load(spark: SparkSession, tags: DataFrame, t: Tables) -> dict:
     tags = cut(tags, "tags")  # lineage cut: the text is decoded once, reused twice
-    existing_users = load_users(spark, root)
+    existing_users = load_users(spark, t.root)
     # names the dimension cannot hold are left out *before* numbering, so the
     # ids stay dense; their games are rejected (no id) by the check below
     new_users = assign_ids(valid_usernames(name_appearances(tags)), existing_users)
-    new_users = cut(new_users, "new-users")
-    new_users.write.mode("append").parquet(t.users)
-    users = load_users(spark, root)
+    users_added = _append(cut(new_users, "new-users"), t.users)
+    users = load_users(spark, t.root)
     # encoded once: the accepted games, their months and the rejects all
     # read this table
     checked = cut(with_partition(check_games(tags, users)), "checked")
     good, bad = split_checked(checked)
     bad = bad.drop(PARTITION)
-    fresh = upsert_ignore(good, load_games(spark, root), "site", ORDER, prune_col=PARTITION)
+    fresh = upsert_ignore(good, load_games(spark, t.root), "site", ORDER)
+    # at most FILES_A_MONTH files a month and load, however many tasks there are
+    deal = F.pmod(F.xxhash64("site"), F.lit(FILES_A_MONTH))
     fresh = cut(fresh.select(*GAMES_COLUMNS, PARTITION), "new-games")
-    fresh.write.mode("append").partitionBy(PARTITION).parquet(t.games)
+    games_added = _append(fresh.repartition(PARTITION, deal), t.games, PARTITION)
     # rejects are keyed by their content, so a re-run adds none twice
     content = [c for c in bad.columns if c not in ("block", "pos")]
     bad = bad.withColumn("reject_key", F.sha2(F.to_json(F.struct(*content)), 256))
     stored = _read_or_none(spark, t.rejects, bad.schema)
-    upsert_ignore(bad, stored, "reject_key", ORDER).write.mode("append").parquet(t.rejects)
-    return {"users_added": new_users.count(), "games_added": fresh.count()}
+    _append(cut(upsert_ignore(bad, stored, "reject_key", ORDER), "rejects"), t.rejects)
+    return {"users_added": users_added, "games_added": games_added}

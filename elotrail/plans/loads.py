@@ -13,7 +13,7 @@ from ..operators.keys import assign_ids, encode_players
 from ..operators.upsert import upsert_ignore
 from ..schema import GAMES_COLUMNS
 from ..session import scratch_path
-from ..sources.fixtures import render_records, render_tags, write_dump
+from ..sources.fixtures import dirty_records, render_records, render_tags, write_dump
 from ..sources.manifest import manifest_from_games, pending_months, read_manifest, select_months
 from ..sources.pgn import TAGS, parse_tags, read_pgn
 from ..sources.results import read_result, write_result
@@ -29,18 +29,9 @@ def _before(split: str = SPLIT):
     return F.col("date_time") < F.lit(split).cast("timestamp_ntz")
 
 
-_DUMPS: dict[tuple[int, int], str] = {}
-
-
 def dump_of(games: DataFrame, users: DataFrame) -> str:
-    """Rendered dump of these games; rendered once per input and process
-    (the rendering is deterministic, the queries only read the files)."""
-    from ..session import exists
-    key = (games.semanticHash(), users.semanticHash())
-    path = _DUMPS.get(key)
-    if path is None or not exists(path, games.sparkSession):
-        path = _DUMPS[key] = write_dump(render_records(render_tags(games, users)))
-    return path
+    """A dump rendered from these games, in a folder of its own."""
+    return write_dump(render_records(render_tags(games, users)))
 
 
 # P3-P10, each applied to the raw tag text parsed from a rendered dump:
@@ -77,6 +68,16 @@ def pgn_scan(spark: SparkSession, games: DataFrame, users: DataFrame) -> DataFra
     return good.select(*GAMES_COLUMNS)
 
 
+def pgn_dirty(spark: SparkSession, games: DataFrame, users: DataFrame) -> DataFrame:
+    """F1-F3 and the unknown codes of P3-P7 on a dump with faults and odd layouts: games
+    that come through, and the rejects with their reason."""
+    path = write_dump(dirty_records(render_tags(games, users)))
+    good, bad = games_from_tags(parse_tags(read_pgn(spark, path)), users)
+    cols = ["site", "event", "result", "whiteelo", "timecontrol"]
+    return good.select(*cols, F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select(*cols, "reason"))
+
+
 def pgn_tags(spark: SparkSession, games: DataFrame, users: DataFrame) -> DataFrame:
     """Raw tag values as parsed from the dump text."""
     tags = parse_tags(read_pgn(spark, dump_of(games, users)))
@@ -127,10 +128,20 @@ def games_upsert(games: DataFrame) -> DataFrame:
     first = overlap.withColumn("copy", F.lit(0))
     second = overlap.withColumn("whiteelo", F.col("whiteelo") + 1).withColumn("copy", F.lit(1))
     batch = with_partition(first.unionByName(second))
-    fresh = upsert_ignore(batch, existing, "site", ["copy", "date_time"], prune_col="event_month")
+    fresh = upsert_ignore(batch, existing, "site", ["copy", "date_time"])
     return fresh.select(*GAMES_COLUMNS)
 
 
+def games_upsert_moved(games: DataFrame) -> DataFrame:
+    """K3 with a batch that brings every third game 40 days later than stored: the
+    id decides, not the month, so no stored game comes in again."""
+    existing = with_partition(games.filter(_before()))
+    third = F.col("site").cast("long") % 3 == 0
+    moved = games.withColumn("date_time", F.when(
+        third, F.col("date_time") + F.make_dt_interval(days=F.lit(40))).otherwise(F.col("date_time")))
+    return upsert_ignore(with_partition(moved), existing, "site", ["date_time"]).select(*GAMES_COLUMNS)
+
+
 def users_upsert(games: DataFrame, users: DataFrame) -> DataFrame:
     """K4: dimension members not yet stored (stored = players of the games
     before the split); a renamed duplicate later in the batch loses."""
@@ -167,16 +178,18 @@ BRACKET_SCHEMA = T.StructType([T.StructField("elo_bracket", T.StringType()),
 
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: run SQL reports over the registered views into named CSV folders,
-    then read one of them back."""
+    then read them back."""
     from ..sources.results import run_queries
     from ..sources.tables import register_views
     register_views(spark, sf_dir)
     out = run_queries(spark, ["SELECT event, count(*) AS count FROM games GROUP BY event",
-                              "SELECT count(*) AS games FROM games"],
+                              "SELECT count(*) AS count FROM games"],
                       scratch_path(spark, "reports"), names=["per_event", "total"])
     schema = T.StructType([T.StructField("event", T.StringType()),
                            T.StructField("count", T.LongType())])
-    return read_result(spark, out["per_event"], schema)
+    total = read_result(spark, out["total"], T.StructType(schema.fields[1:]))
+    return read_result(spark, out["per_event"], schema).unionByName(
+        total.withColumn("event", F.lit("all")))
 
 
 def csv_roundtrip(spark: SparkSession, games: DataFrame) -> DataFrame:
@@ -209,13 +222,13 @@ def stream_parse(spark: SparkSession, games: DataFrame, users: DataFrame) -> Dat
 
 
 def stream_dedup(spark: SparkSession, games: DataFrame, users: DataFrame) -> DataFrame:
-    """T5: the whole (time-ordered) dump delivered twice; duplicates by id
-    are dropped within the watermark."""
+    """T5: the whole dump delivered twice, one file a micro-batch, files in order of
+    the game ids and so out of order in time; duplicates by id are dropped."""
     from ..streaming.stream import dedup, game_stream
     rec = render_records(render_tags(games, users))
-    path = write_dump(rec, order="_ts")
-    write_dump(rec, path=path, order="_ts", mode="append")
-    out = _run(dedup(game_stream(spark, path, max_files=1000)).drop("file", "block", "pos"))
+    path = write_dump(rec, files=4)
+    write_dump(rec, path=path, files=4, mode="append")
+    out = _run(dedup(game_stream(spark, path, max_files=1)).drop("file", "block", "pos"))
     return _to_games(out, users)
 
 

@@ -146,6 +146,8 @@ def blitz_pairs(games: DataFrame, until_year: int, event: str = "B") -> DataFram
     Written as a range on ``date_time`` so the predicate reaches the scan
     (``year(x) <= y`` would not be pushed)."""
     end = F.lit(f"{until_year + 1}-01-01 00:00:00").cast("timestamp_ntz")
+    if "event_month" in games.columns:  # the stored table: prune its partitions
+        games = games.filter(F.col("event_month") <= f"{until_year}-12")
     return (games.filter((F.col("event") == event) & (F.col("date_time") < end))
             .select("black", "white", "blackelo", "whiteelo", "date_time"))
 
@@ -259,6 +261,13 @@ def top_players(games: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
         F.col("white").alias("player"), "username", "total_games")
 
 
+def players_above(games: DataFrame, users: DataFrame, above: int) -> DataFrame:
+    """Players with more than ``above`` games, with names."""
+    t = games_per_player(games).filter(F.col("total_games") > above)
+    return t.join(users, t["white"] == users["id"]).select(
+        F.col("white").alias("player"), "username", "total_games")
+
+
 def user_ids_all(users: DataFrame) -> DataFrame:
     """Q17 / S6."""
     return users.select("id", "username")

@@ -19,11 +19,14 @@ from .operators.stage import cut
 from .plans import cohorts as C
 from .plans import loads as L
 from .plans import queries as Q
+from .session import scratch_path
+from .sources.results import read_result
 from .sources.tables import games, user_ids
 
 PLAYER = 42
 UNTIL_YEAR = 1999
 GAIN_POINTS = 100
+ABOVE_GAMES = 25
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,10 +39,11 @@ def _gu(f):
     return lambda spark, d: f(games(spark, d), user_ids(spark, d))
 
 
-def _chain(pick, sides=("white", "black")):
+def _chain(pick, both=False):
+    """A report on the cohort chain; ``both``: it reads the series and the net change."""
     def run(spark, d):
         g = games(spark, d)
-        daily, monthly, banded, net = C.chain(g, sides=sides)
+        daily, monthly, banded, net = C.chain(g, materialize=both)
         return pick(g, daily, monthly, banded, net)
     return run
 
@@ -48,10 +52,20 @@ def _hex(y, per_month):
     return _chain(lambda g, d, m, b, n: C.games_vs_gain(g, n, y=y, per_month=per_month))
 
 
-def _months_to_gain(spark, d):
-    g = games(spark, d)
-    _, _, b, n = C.chain(g)
-    return C.months_to_gain(C.gain_curve(b, n, -1000), GAIN_POINTS)
+def _months_to_gain(skip_first):
+    return _chain(lambda g, d, m, b, n: C.months_to_gain(
+        cut(C.gain_curve(b, n, -1000), "curve"), GAIN_POINTS, skip_first), both=True)
+
+
+def _band_stats_export(spark, d):
+    """K6, read back: one row per statistic and band."""
+    _, _, _, net = C.chain(games(spark, d))
+    schema = "band string, rating double, diff double"
+    out = None
+    for name, path in C.export_band_stats(net, scratch_path(spark, "band-stats")).items():
+        part = read_result(spark, path, schema).withColumn("stat", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 REGISTRY: dict[str, Query] = {
@@ -87,6 +101,7 @@ REGISTRY: dict[str, Query] = {
     "elo_p90": _g(Q.elo_p90),
     "top_player_per_event": _gu(Q.top_player_per_event),
     "top_players": _gu(Q.top_players),
+    "players_above": _gu(lambda g, u: Q.players_above(g, u, ABOVE_GAMES)),
     "share_per_bracket": _g(Q.share_per_bracket),
     "share_per_event": _g(Q.share_per_event),
     "games_histogram": _g(lambda g: stats.histogram(
@@ -99,23 +114,30 @@ REGISTRY: dict[str, Query] = {
     "c03_banded_rating": _chain(lambda g, d, m, b, n: b),
     "c04_net_change": _chain(lambda g, d, m, b, n: n),
     "c05_band_stats": _chain(lambda g, d, m, b, n: C.band_stats(n)),
-    "c06_mean_ci": _chain(lambda g, d, m, b, n: C.gain_curve(b, n, -1000)),
-    "c06_mean_ci_100": _chain(lambda g, d, m, b, n: C.gain_curve(b, n, 100)),
+    "c06_mean_ci": _chain(lambda g, d, m, b, n: C.gain_curve(b, n, -1000), both=True),
+    "c06_mean_ci_100": _chain(lambda g, d, m, b, n: C.gain_curve(b, n, 100), both=True),
+    "c06_mean_ci_800": _chain(lambda g, d, m, b, n: C.gain_curve(b, n, 800), both=True),
+    "c06_cohort_size": _chain(lambda g, d, m, b, n: C.cohort_size(n)),
     "c07_games_vs_gain": _hex("diff", False),
     "c07_games_vs_elo": _hex("elo", False),
     "c07_per_month": _hex("diff", True),
+    "c07_elo_per_month": _hex("elo", True),
+    "c07_marginals": _chain(lambda g, d, m, b, n: C.games_vs_gain_marginals(g, n)),
     "c08_gain_count_heatmap": _chain(
         lambda g, d, m, b, n: C.gain_heatmap(n).select("band", "gain", "players")),
     "c09_gain_time_heatmap": _chain(
         lambda g, d, m, b, n: C.gain_heatmap(n).select("band", "gain", "months")),
+    "gain_matrix": _chain(lambda g, d, m, b, n: C.gain_matrix(n)),
+    "band_stats_export": _band_stats_export,
     "c10_gain_percentile": _chain(lambda g, d, m, b, n: C.gain_percentile(n)),
-    "c11_percentile_curves": _chain(lambda g, d, m, b, n: C.percentile_curves(b, n)),
+    "c11_percentile_curves": _chain(lambda g, d, m, b, n: C.percentile_curves(b, n), both=True),
     "share_per_band": _chain(lambda g, d, m, b, n: C.players_per_band(n)),
     "semi_gainers": _chain(
         lambda g, d, m, b, n: b.join(n.filter(F.col("diff") > GAIN_POINTS), "player",
-                                     "left_semi")),
+                                     "left_semi"), both=True),
     "extreme_gains": _chain(lambda g, d, m, b, n: C.extreme_gains(n)),
-    "c13_months_to_gain": _months_to_gain,
+    "c13_months_to_gain": _months_to_gain(False),
+    "c13_skip_first": _months_to_gain(True),
     # load path
     "pgn_scan": lambda spark, d: L.pgn_scan(spark, games(spark, d), user_ids(spark, d)),
     "pgn_tags": lambda spark, d: L.pgn_tags(spark, games(spark, d), user_ids(spark, d)),
@@ -123,6 +145,8 @@ REGISTRY: dict[str, Query] = {
     "assign_user_ids_incremental": _gu(L.assign_user_ids_incremental),
     "encode_players": _gu(L.encode),
     "games_upsert": _g(L.games_upsert),
+    "games_upsert_moved": _g(L.games_upsert_moved),
+    "pgn_dirty": lambda spark, d: L.pgn_dirty(spark, games(spark, d), user_ids(spark, d)),
     "users_upsert": _gu(L.users_upsert),
     "month_manifest": lambda spark, d: L.month_manifest(spark, games(spark, d)),
     "pending_months": lambda spark, d: L.months_pending(spark, games(spark, d)),

@@ -1,9 +1,8 @@
-"""Declared schemas (no inference anywhere)."""
+"""Declared schemas of the stored tables."""
 
 from pyspark.sql import types as T
 
-# Column order of the fact table: alphabetical except the partition column,
-# as in the declared DDL of the games table.
+# Column order of the fact table, as in the declared DDL of the games table.
 GAMES_SCHEMA = T.StructType([
     T.StructField("event", T.StringType(), False),
     T.StructField("site", T.StringType(), False),

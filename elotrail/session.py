@@ -52,15 +52,18 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there (HDFS / object store).  Only when
-    the setting is absent (local tests) a folder under the system temp dir is
-    created and registered.
+    A cluster names a shared folder there (HDFS / object store); without one it
+    is an error, since a folder on each node's own disk would lose rows.  In
+    local mode, where all tasks share the machine, a temporary folder is made.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and "
+                             f"executors share (master {sc.master})")
         d = tempfile.mkdtemp(prefix="elotrail-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
@@ -83,3 +86,10 @@ def exists(path: str, spark: SparkSession | None = None) -> bool:
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p))
+
+
+def remove(path: str, spark: SparkSession) -> None:
+    """Delete a folder of this library's own on its file system."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)

@@ -41,6 +41,7 @@ def render_tags(games: DataFrame, users: DataFrame) -> DataFrame:
     ub = users.select(F.col("id").alias("black"), F.col("username").alias("_bname"))
     k = F.col("site").cast("long")
     inc = k % 5
+    when = F.col("date_time").cast("string")
     g = games.join(uw, "white").join(ub, "black")
     return g.select(
         F.col("site").alias("_key"),
@@ -49,8 +50,8 @@ def render_tags(games: DataFrame, users: DataFrame) -> DataFrame:
         F.concat(F.lit(SITE_PREFIX), F.col("site")).alias("Site"),
         F.col("_wname").alias("White"), F.col("_bname").alias("Black"),
         _map(F.col("result"), RESULT_TEXT).alias("Result"),
-        F.date_format("date_time", "yyyy.MM.dd").alias("UTCDate"),
-        F.date_format("date_time", "HH:mm:ss").alias("UTCTime"),
+        F.translate(F.substring(when, 1, 10), "-", ".").alias("UTCDate"),
+        F.substring(when, 12, 8).alias("UTCTime"),
         F.col("whiteelo").cast("string").alias("WhiteElo"),
         F.col("blackelo").cast("string").alias("BlackElo"),
         _signed(F.col("whiteratingdiff")).alias("WhiteRatingDiff"),
@@ -86,6 +87,32 @@ def render_records(tags: DataFrame) -> DataFrame:
                                         F.lit("\n")).alias("value"))
 
 
+def dirty_records(tags: DataFrame) -> DataFrame:
+    """Records with the faults and odd layouts of real dumps, by game id modulo 13:
+    an unknown rating, a missing change, a time control of ``-``, one without ``+``, an
+    unknown event, an unknown result, a note before the moves, a second blank line, moves
+    right after the tags, a repeated rating tag, and no moves at all."""
+    k = F.col("_key").cast("long") % 13
+    t = (tags.withColumn("WhiteElo", F.when(k == 1, F.lit("?")).otherwise(F.col("WhiteElo")))
+         .withColumn("BlackRatingDiff", F.when(k != 2, F.col("BlackRatingDiff")))
+         .withColumn("TimeControl", F.when(k == 3, F.lit("-")).when(k == 4, F.lit("600"))
+                     .otherwise(F.col("TimeControl")))
+         .withColumn("Event", F.when(k == 5, F.lit("Casual Chess960")).otherwise(F.col("Event")))
+         .withColumn("Result", F.when(k == 6, F.lit("*")).otherwise(F.col("Result"))))
+    r = render_records(t)
+    k = F.col("_key").cast("long") % 13
+    blank = "\n\n1"
+    v = F.col("value")
+    v = (F.when(k == 7, F.replace(v, F.lit(blank), F.lit("\n\n { a note }\n1")))
+         .when(k == 8, F.replace(v, F.lit(blank), F.lit("\n\n\n1")))
+         .when(k == 9, F.replace(v, F.lit(blank), F.lit("\n1")))
+         .when(k == 10, F.concat(F.substring_index(v, "\n\n", 1), F.lit('\n[WhiteElo "1234"]\n\n'),
+                                 F.substring_index(v, "\n\n", -1)))
+         .when(k == 11, F.concat(F.substring_index(v, "\n\n", 1), F.lit("\n\n0-1\n")))
+         .otherwise(v))
+    return r.withColumn("value", v)
+
+
 def write_dump(records: DataFrame, path: str | None = None, files: int | None = None,
                compression: str = "bzip2", order: str = "_key", mode: str = "overwrite") -> str:
     """Write records as ``files`` compressed text files ordered by game id

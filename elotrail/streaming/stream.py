@@ -3,7 +3,7 @@
 * T4 ``game_stream``: landing directory of dump files -> one row per game
   (same record split and parse as the batch path), ``maxFilesPerTrigger``
   for back-pressure.
-* T5 ``dedup``: duplicate games by id within an event-time watermark.
+* T5 ``dedup``: the first row of each game id, late files included.
 * T6 ``start_upsert``: ``foreachBatch`` into the tables with the batch
   ingest (E1 -> E2 -> K3/K4); a replayed micro-batch inserts nothing.
 * T2 ``replay_lines`` / T3 ``assemble``: a line-per-message topic (key =
@@ -54,16 +54,13 @@ def game_stream(spark: SparkSession, landing: str, max_files: int = 1) -> DataFr
 
 
 # --- T5 ---------------------------------------------------------------------
-def dedup(games: DataFrame, delay: str = "31 days") -> DataFrame:
-    """T5: drop repeated game ids seen within the watermark delay; state is
-    bounded by the watermark (K3 in the sink catches anything later).
+def dedup(games: DataFrame) -> DataFrame:
+    """T5: the first row of each game id, whatever order the files come in.
 
-    Rows older than the watermark are discarded by Spark as late, so the
-    delay must cover the input's disorder: dumps arrive month by month in
-    time order, hence one month by default."""
-    return (games.withColumn("_event_time", F.col("date_time").cast("timestamp"))
-            .withWatermark("_event_time", delay)
-            .dropDuplicatesWithinWatermark(["site"]).drop("_event_time"))
+    State is keyed by id without a watermark, since a watermark would discard
+    a backfilled month as late: one short key per stored game, spread over the
+    state partitions and held by RocksDB on disk."""
+    return games.dropDuplicates(["site"])
 
 
 # --- T6 ---------------------------------------------------------------------
@@ -146,8 +143,8 @@ def _assemble_group(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
     """Lines of one key in offset order -> finished game records.
 
     A ``[Event`` line opens a record (dropping an unfinished one: no tag
-    leaks); a movetext line starting with '1' closes it; state keeps the
-    open record between micro-batches (at most one game's lines).  Memory per
+    leaks); a movetext line starting with '1' closes it; notes and other
+    lines between are passed over; state keeps the open record between micro-batches (at most one game's lines).  Memory per
     call is one key's lines of one micro-batch, bounded by
     ``maxOffsetsPerTrigger`` (topic) or ``maxFilesPerTrigger`` (file log)."""
     pdf = pd.concat(list(batches)).sort_values("offset")
@@ -163,10 +160,9 @@ def _assemble_group(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
         elif line.startswith("["):
             if lines:
                 lines.append(line)
-        elif lines:
-            if line.startswith("1"):
-                out_off.append(first)
-                out_raw.append("\n".join(lines) + "\n\n" + line)
+        elif lines and line.startswith("1"):
+            out_off.append(first)
+            out_raw.append("\n".join(lines) + "\n\n" + line)
             lines, first = [], None
     if lines:
         state.update(("\n".join(lines), first))

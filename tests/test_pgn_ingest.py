@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from elotrail.plans.ingest import ingest, load_games, load_users
+from elotrail.sources.pgn import parse_tags, read_pgn
 
 BASE = {"Event": "Rated Blitz game", "White": "alice", "Black": "bob", "Result": "1-0",
         "UTCDate": "2013.01.01", "UTCTime": "00:00:05", "WhiteElo": "1500",
@@ -100,6 +101,7 @@ def test_rejects_have_reasons(spark, loaded):
     rej = {r["site"]: r["reason"] for r in spark.read.parquet(f"{root}/rejects").collect()}
     assert rej["g0013"] == "eco is null" and rej["g0014"] == "date_time is null"
     # no id for a name longer than the dimension allows, or for a missing tag
+    assert rej["g0009"] == "no movetext"
     assert rej["g0016"] == "white is null" and rej["g0017"] == "black is null"
 
 
@@ -115,4 +117,101 @@ def test_rerun_changes_nothing(spark, loaded):
     assert again == {"users_added": 0, "games_added": 0}
     assert load_games(spark, root).count() == len(g)
     assert load_games(spark, root).select(F.countDistinct("site")).first()[0] == len(g)
-    assert spark.read.parquet(f"{root}/rejects").count() == n_rej == 4
+    assert spark.read.parquet(f"{root}/rejects").count() == n_rej == 5
+
+
+def load_text(spark, tmp_path, text, root=None, name="a.pgn.bz2"):
+    (tmp_path / name).write_bytes(bz2.compress(text.encode()))
+    root = root or str(tmp_path / "tables")
+    ingest(spark, str(tmp_path / name), root)
+    return root
+
+
+def test_record_layouts(spark, tmp_path):
+    """A note line, a second blank line and moves right after the tags close a record; the
+    last of a repeated tag counts."""
+    plain = rec("h0004")
+    text = (rec("h0001", moves=" { a note }\n1. e4 1-0") + rec("h0002", moves="\n1. e4 1-0")
+            + rec("h0003").replace("\n\n1. e4", "\n1. e4")
+            + plain.replace('[WhiteElo "1500"]', '[WhiteElo "1500"]\n[WhiteElo "1600"]')
+            + rec("h0005", moves="{ only a note }"))
+    root = load_text(spark, tmp_path, text)
+    elo = {r["site"]: r["whiteelo"] for r in load_games(spark, root).collect()}
+    assert elo == {"h0001": 1500, "h0002": 1500, "h0003": 1500, "h0004": 1600}
+    rej = spark.read.parquet(f"{root}/rejects").collect()
+    assert [(r["site"], r["reason"]) for r in rej] == [("h0005", "no movetext")]
+
+
+def test_an_id_comes_in_once_whatever_its_month(spark, tmp_path):
+    root = load_text(spark, tmp_path, rec("m0001", UTCDate="2013.01.31"))
+    load_text(spark, tmp_path, rec("m0001", UTCDate="2013.02.01") + rec("m0002"), root, "b.pgn.bz2")
+    assert sorted(r["site"] for r in load_games(spark, root).collect()) == ["m0001", "m0002"]
+
+
+def test_timestamps_do_not_follow_the_session_zone(spark, tmp_path):
+    text = rec("z0001", UTCDate="2018.03.11", UTCTime="02:30:00") + rec(
+        "z0002", UTCDate="2018.01.31", UTCTime="23:59:59")
+    seen = {}
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            root = load_text(spark, tmp_path, text, str(tmp_path / zone.replace("/", "-")))
+            seen[zone] = sorted((r["site"], str(r["date_time"]), r["event_month"])
+                                for r in load_games(spark, root).collect())
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert seen["UTC"] == seen["America/New_York"] == [
+        ("z0001", "2018-03-11 02:30:00", "2018-03"), ("z0002", "2018-01-31 23:59:59", "2018-01")]
+
+
+def test_a_load_leaves_no_tables_behind(spark, tmp_path):
+    from pathlib import Path
+    base = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).parent
+    count = lambda: sum(1 for _ in base.rglob("new-games-*"))
+    before = count()
+    root = load_text(spark, tmp_path, rec("s0001") + rec("s0002"))
+    files = sorted(p.name for p in (tmp_path / "tables").rglob("part-*"))
+    load_text(spark, tmp_path, rec("s0001"), root, "b.pgn.bz2")
+    assert count() == before
+    # and a load without news writes no file
+    assert sorted(p.name for p in (tmp_path / "tables").rglob("part-*")) == files
+
+
+def test_files_a_month_are_bounded(spark, tmp_path):
+    from elotrail.plans.ingest import FILES_A_MONTH
+    text = "".join(rec(f"f{i:05d}") for i in range(300))
+    for k in range(6):
+        (tmp_path / f"d{k}.pgn").write_text("".join(rec(f"f{k}{i:04d}") for i in range(50)))
+    root = load_text(spark, tmp_path, text)
+    ingest(spark, [str(tmp_path / f"d{k}.pgn") for k in range(6)], root)
+    assert len(list((tmp_path / "tables/games/event_month=2013-01").glob("*.parquet"))) <= 2 * FILES_A_MONTH
+
+
+@pytest.mark.parametrize("split", [200_000, 700_000, 10_000_000])
+def test_splits_of_a_compressed_dump(spark, tmp_path, split):
+    """More than five bz2 blocks: every record comes once, wherever the splits fall."""
+    import random
+    rng = random.Random(1)
+    moves = lambda: "1. " + " ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(120))
+    text = "".join(rec(f"{i:08d}", moves=moves() + " 1-0") for i in range(9000))
+    path = tmp_path / "big.pgn.bz2"
+    path.write_bytes(bz2.compress(text.encode()))
+    assert len(text) > 5 * 900_000
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        tags = parse_tags(read_pgn(spark, str(path)))
+        r = tags.agg(F.count(F.lit(1)), F.countDistinct("Site"), F.count("ECO"), F.count("moves")).first()
+        assert tuple(r) == (9000,) * 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from elotrail.session import ensure_checkpoint_dir
+    none = SimpleNamespace(get=lambda k, d=None: d)
+    sc = SimpleNamespace(master="spark://host:7077", getConf=lambda: none, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc))

@@ -1,9 +1,16 @@
 """Plan shape checks: one scan for the un-pivot, pushed range filters, no
 Python UDF in batch plans."""
 
+import pytest
+
+from elotrail import registry
+from elotrail.operators import ranking
+from elotrail.plans import cohorts
 from elotrail.plans import queries as Q
+from elotrail.plans.ingest import games_from_tags, load_games, with_partition
 from elotrail.registry import REGISTRY
-from elotrail.sources.tables import games
+from elotrail.sources.pgn import parse_tags, read_pgn
+from elotrail.sources.tables import games, user_ids
 from tests.conftest import SF_SMALL
 
 
@@ -28,31 +35,60 @@ def test_year_limit_reaches_scan(spark):
     assert "LessThan(o_orderdate,2000-01-01T00:00)" in p
 
 
-def test_player_filter_pushed(spark):
-    df = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
-    from pyspark.sql import functions as F
-    p = plan(df.filter((F.col("o_custkey") == 3) | (F.col("o_orderkey") == 5)))
-    assert "Or(EqualTo(o_custkey,3),EqualTo(o_orderkey,5))" in p
+def stored(spark, tmp_path):
+    """The games as the load stores them, by month."""
+    root = str(tmp_path / "db")
+    with_partition(games(spark, SF_SMALL)).write.partitionBy("event_month").parquet(f"{root}/games")
+    return load_games(spark, root)
+
+
+def test_player_filter_pushed(spark, tmp_path):
+    p = plan(Q.player_history(stored(spark, tmp_path), 3))
+    assert "Or(EqualTo(white,3),EqualTo(black,3))" in p
+
+
+def test_year_limit_prunes_months(spark, tmp_path):
+    df = stored(spark, tmp_path)
+    p = plan(Q.blitz_pairs(df, 1996))
+    assert "PartitionFilters: []" not in p and "event_month" in p.split("PartitionFilters: ")[1][:80]
+    want = Q.blitz_pairs(games(spark, SF_SMALL), 1996)
+    assert sorted(Q.blitz_pairs(df, 1996).collect()) == sorted(want.collect())
 
 
-def test_no_python_in_batch_plans(spark):
-    for name in ("q04_games_per_player", "c10_gain_percentile", "c05_band_stats",
-                 "q11_daily_rating", "assign_user_ids"):
+@pytest.fixture
+def uncut(monkeypatch):
+    """Plans from the tables on: nothing is written in between."""
+    for module in (cohorts, ranking, Q, registry):
+        if hasattr(module, "cut"):
+            monkeypatch.setattr(module, "cut", lambda df, name="": df)
+
+
+def test_no_python_in_batch_plans(spark, uncut):
+    for name in ("q04_games_per_player", "c10_gain_percentile", "c05_band_stats", "c11_percentile_curves",
+                 "games_histogram", "q11_daily_rating", "assign_user_ids"):
         p = plan(REGISTRY[name](spark, SF_SMALL))
+        assert "orders.parquet" in p, name
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
 
 
 def test_cohort_chain_shuffles_twice(spark):
-    """daily (player, day) partial aggregate + one exchange by player; the
-    monthly aggregate, both windows and the per-player groupBy reuse it."""
-    from elotrail.plans import cohorts as C
-    _, _, _, net = C.chain(games(spark, SF_SMALL), materialize=False)
-    p = plan(net)
+    """The registered query: daily (player, day) partial aggregate + one exchange by player;
+    the monthly aggregate, both windows and the per-player groupBy reuse it."""
+    p = plan(REGISTRY["c04_net_change"](spark, SF_SMALL))
     data_shuffles = [ln for ln in p.splitlines()
                      if "Exchange hashpartitioning" in ln or "Exchange rangepartitioning" in ln]
     assert len(data_shuffles) == 2, data_shuffles
 
 
+def test_tags_are_read_once(spark, tmp_path):
+    """Two reads of the header (names and values), however many tags and filters follow."""
+    (tmp_path / "a.pgn").write_text("")
+    tags = parse_tags(read_pgn(spark, str(tmp_path / "a.pgn")))
+    df, _ = games_from_tags(tags, user_ids(spark, SF_SMALL))
+    optimised = df._jdf.queryExecution().optimizedPlan().toString()
+    assert optimised.count("regexp_extract_all(") == 2
+
+
 def test_bands_not_single_task_windows(spark):
     """Percentile ranks within bands never run a window partitioned by band
     alone over player rows (one task per band)."""

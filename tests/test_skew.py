@@ -46,5 +46,27 @@ def test_daily_series_and_ranks_with_hot_player(spark):
     assert (want["percentile"] - want["p2"]).abs().max() < 1e-12
 
 
-def test_skew_join_enabled(spark):
-    assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+def test_hot_value_is_split_in_the_join_back(spark):
+    """Most players have a net change of 0: the join of ranks back on (band, diff) splits
+    that value's partition once it is large against the others."""
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+           "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+           "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+           "spark.sql.adaptive.coalescePartitions.enabled": "false",
+           "spark.sql.autoBroadcastJoinThreshold": "-1",
+           "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    try:
+        net = spark.range(200_000).select(
+            F.col("id").alias("player"), F.lit("800 - 999").alias("band"),
+            F.when(F.col("id") % 3 > 0, 0.0).otherwise(F.col("id") * 1.0).alias("diff"))
+        out = average_rank_pct(net, ["band"], "diff")
+        assert out.agg(F.count(F.lit(1))).first()[0] == 200_000
+        out.write.format("noop").mode("overwrite").save()
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from elotrail.session import scratch_path
-from elotrail.streaming.stream import LINE_SCHEMA, assemble, line_stream, run_to_table
+from elotrail.streaming.stream import (LINE_SCHEMA, assemble, dedup, game_stream, line_stream,
+                                       run_to_table)
 
 
 def _game(i, moves=None, title=False):
@@ -40,3 +41,28 @@ def test_games_cut_across_micro_batches(spark):
     # the move-less record's title did not leak into the next game
     nxt = got.filter(F.col("raw").contains("g0008")).first()["raw"]
     assert "WhiteTitle" not in nxt
+
+
+def test_notes_between_tags_and_moves(spark):
+    lines = _game(1)[:-1] + [" { note }", "% remark", "1. e4 1-0"] + _game(2)
+    log = scratch_path(spark, "log")
+    spark.createDataFrame(pd.DataFrame({"key": "k", "partition": 0, "offset": range(len(lines)),
+                                        "value": lines}), LINE_SCHEMA).coalesce(1).write.parquet(log)
+    out = scratch_path(spark, "out")
+    run_to_table(assemble(line_stream(spark, log)), out, scratch_path(spark, "ck"))
+    assert spark.read.parquet(out).count() == 2
+
+
+def test_dedup_keeps_a_backfilled_month(spark, tmp_path):
+    """Later months come first, one file a micro-batch; each game comes in two files."""
+    text = lambda month: "".join("\n".join(
+        _game(month * 100 + i)[:-1]
+        + [f'[UTCDate "2013.{month:02d}.03"]', '[UTCTime "00:00:01"]']) + "\n\n1. e4 1-0\n\n"
+        for i in range(20))
+    for k, month in enumerate((9, 1, 5, 9, 1)):
+        (tmp_path / f"{k}.pgn").write_text(text(month))
+        time.sleep(0.05)
+    out = scratch_path(spark, "out")
+    run_to_table(dedup(game_stream(spark, str(tmp_path), max_files=1)), out, scratch_path(spark, "ck"))
+    got = [r[0] for r in spark.read.parquet(out).select("site").collect()]
+    assert sorted(got) == sorted(f"g{m * 100 + i:04d}" for m in (1, 5, 9) for i in range(20))
