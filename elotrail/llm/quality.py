@@ -26,8 +26,8 @@ from .common import text_of
 BITS = 18              # features are hashed to 2**BITS weights
 TRAIN_ROWS = 20_000    # bound on the labelled rows trained on, the ones of smallest digest
 SHARDS = 8             # learners that run side by side and are averaged after each round
-ROUNDS = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-5, 1e-6
+ROUNDS = 4
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 1e-5, 1e-6
 KEEP_FROM = 0.3
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 CACHE_TOKENS = 400_000
@@ -119,17 +119,17 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(total, -30, 30))))
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int, float]], z: np.ndarray, n: np.ndarray) -> None:
-    """One pass of FTRL-proximal updates over (indices, values, label, weight), in place.  The
-    last place of ``z`` and ``n`` is the bias."""
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> None:
+    """One pass of FTRL-proximal updates over (indices, values, label), in place.  The last
+    place of ``z`` and ``n`` is the bias."""
     bias = len(z) - 1
-    for index, value, label, weight in rows:
+    for index, value, label in rows:
         i = np.append(index, bias)
         x = np.append(value, 1.0)
         zi, ni = z[i], n[i]
         w = _weights(zi, ni)
         p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30)))
-        g = weight * (p - label) * x
+        g = (p - label) * x
         sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
         z[i] = zi + g - sigma * w
         n[i] = ni + g * g
@@ -152,8 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, rounds: i
     of the id are learned from, so the fit costs the same at any size; several labels of
     one id count by their majority (a tie as 1), null ones not.  The sampled texts are
     turned into sparse features where they lie; ``shards`` learners each pass over their
-    fixed share in a fixed order, and their states are averaged after each round.  The
-    two classes weigh alike in sum.  What reaches the driver is at most ``shards``
+    fixed share in a fixed order, and their states are averaged after each round.  What reaches the driver is at most ``shards``
     states of 2**BITS numbers."""
     digest = F.md5(F.col("doc_id").cast("string"))
     known = (labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()
@@ -165,7 +164,6 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, rounds: i
     ones = sum(y for _, y in rows)
     if not 0 < ones < len(rows):
         return Model(np.zeros(size), 0.0)
-    weight = {1: len(rows) / 2 / ones, 0: len(rows) / 2 / (len(rows) - ones)}
     picked = docs.sparkSession.createDataFrame(
         pd.DataFrame(rows, columns=["of", "label"]).assign(place=range(len(rows))))
 
@@ -189,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, rounds: i
         def learn(pdf: pd.DataFrame) -> pd.DataFrame:
             z, n = (x.copy() for x in sent.value)
             pdf = pdf.sort_values("place")
-            ftrl([(np.asarray(i, np.int64), np.asarray(v), y, weight[y])
+            ftrl([(np.asarray(i, np.int64), np.asarray(v), y)
                   for i, v, y in zip(pdf["i"], pdf["v"], pdf["label"])], z, n)
             return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "z": [z.tobytes()], "n": [n.tobytes()]})
 

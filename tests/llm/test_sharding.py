@@ -1,0 +1,58 @@
+"""Operator 5 against the published loop in plain Python."""
+
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from elotrail.llm.sharding import jump, jump_shard, shard_documents
+
+
+def plain_jump(key, shards):
+    at, ahead = -1, 0
+    while ahead < shards:
+        at = ahead
+        key = (key * 2862933555777941757 + 1) % 2**64
+        ahead = int((at + 1) * ((1 << 31) / ((key >> 33) + 1)))
+    return at
+
+
+def test_jump_equals_the_plain_loop():
+    keys = np.random.default_rng(1).integers(0, 2**64, 2000, dtype=np.uint64)
+    for shards in (1, 2, 24, 25, 1000):
+        assert jump(keys, shards).tolist() == [plain_jump(int(k), shards) for k in keys]
+
+
+def test_one_more_shard_only_takes():
+    keys = np.arange(50_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    a, b = jump(keys, 24), jump(keys, 25)
+    moved = a != b
+    assert (b[moved] == 24).all()
+    assert abs(moved.mean() - 1 / 25) < 0.005
+    assert np.bincount(a).min() > 0.9 * 50_000 / 24
+
+
+def test_column_form(spark):
+    keys = [0, 1, -1, 2**63 - 1, -2**63]
+    out = spark.createDataFrame([(k,) for k in keys], "k long").select(
+        "k", jump_shard(F.col("k"), 10).alias("s")).collect()
+    assert all(r["s"] == plain_jump(r["k"] % 2**64, 10) for r in out)
+
+
+def test_documents(spark):
+    rows = [(i, f"t{i} é", 1) for i in range(500)] + [(7, None, 2), (None, "x", 3), (None, "x", 3), (3, "", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int").repartition(4)
+    out = shard_documents(docs, 24).collect()
+    assert len(out) == len(rows)
+    slots, shard_of = {}, {}
+    for r in out:
+        slots.setdefault(r["shard"], []).append((r["slot"], r["doc_id"] if r["doc_id"] is not None else -1))
+        assert shard_of.setdefault(r["doc_id"], r["shard"]) == r["shard"]
+        assert r["grown_shard"] in (r["shard"], 24)
+    for got in slots.values():
+        got.sort()
+        assert [s for s, _ in got] == list(range(len(got)))
+        assert [d for _, d in got] == sorted(d for _, d in got)
+    texts = {(r["doc_id"], r["size"], r["text_crc32"]) for r in out}
+    assert (7, 8, 0) in texts and (9, len("t9 é".encode()) + 8, zlib.crc32("t9 é".encode())) in texts
+    assert shard_documents(docs.limit(0)).count() == 0
