@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-import threading
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
-
-_open = threading.local()  # the tables made inside the innermost ``temporary`` block
+from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Reliable lineage cut: written once as a Parquet table below the shared
     ``spark.checkpoint.dir`` and read back (columnar, survives executor loss;
-    cheaper than an RDD checkpoint of serialised rows)."""
+    cheaper than an RDD checkpoint of serialised rows).  ``session.temporary``
+    removes it."""
     from ..session import scratch_path
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    for made in getattr(_open, "blocks", [])[-1:]:
-        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Remove at the end of the block the tables cut inside it.  Results are lazy:
-    write them (or collect them) inside the block."""
-    from ..session import remove
-    blocks = _open.blocks = [*getattr(_open, "blocks", []), []]
-    try:
-        yield
-    finally:
-        for path in blocks[-1]:
-            remove(path, spark)
-        _open.blocks = blocks[:-1]

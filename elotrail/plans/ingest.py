@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.keys import assign_ids, encode_players, name_appearances
-from ..operators.stage import cut, temporary
+from ..operators.stage import cut
 from ..operators.upsert import upsert_ignore
 from ..operators.validate import (RATING_COLUMNS, no_movetext, split_checked, valid_usernames,
                                   with_reason)
 from ..schema import GAMES_COLUMNS, GAMES_SCHEMA, USERS_SCHEMA
-from ..session import ensure_checkpoint_dir, exists
+from ..session import ensure_checkpoint_dir, exists, temporary
 from ..sources.pgn import encode_games, parse_tags, read_pgn
 
 ORDER = ("file", "block", "pos")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -77,7 +80,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     exports) so every executor can read them on a cluster.
     """
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in getattr(_open, "blocks", [])[-1:]:
+        made.append(path)
+    return path
+
+
+_open = threading.local()  # scratch paths given out inside the innermost ``temporary`` block
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end of the block what was written to scratch paths inside it.
+    Results are lazy: write them (or collect them) inside the block."""
+    blocks = _open.blocks = [*getattr(_open, "blocks", []), []]
+    try:
+        yield
+    finally:
+        for path in blocks[-1]:
+            remove(path, spark)
+        _open.blocks = blocks[:-1]
 
 
 def exists(path: str, spark: SparkSession | None = None) -> bool:
