@@ -22,8 +22,8 @@ from elotrail.session import scratch_path
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scored = classify(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    scored = classify(docs, table(spark, sf_dir, "labels"), prefix="__")
+    return scored.filter("__predicted = 1").select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = find_benchmark(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter("n_hit = 0").select(*docs.columns)
+    found = find_benchmark(docs, table(spark, sf_dir, "benchmark"), prefix="__")
+    return found.filter("__n_hit = 0").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

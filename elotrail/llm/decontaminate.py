@@ -122,15 +122,17 @@ def _blocks(bench: DataFrame, item_id: str, text: str,
 
 def find_benchmark(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
                    doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                   item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Add ``n_words``, ``n_hit``, ``spans`` (characters of the original) and ``items``.
+                   item_text: str = "text", block_bytes: int = BLOCK_BYTES,
+                   prefix: str = "") -> DataFrame:
+    """Add ``n_words``, ``n_hit``, ``spans`` (characters of the original) and ``items``, their
+    names after ``prefix``.
 
     A narrow pass over the documents without a shuffle for a benchmark of one block;
     with more blocks each is scanned for itself, and the results of a (doc_id, text)
     are joined.  A null text has no words; null items count for nothing, and items
     that share an id are one; an empty benchmark hits nothing; repeated rows stay.
     The four columns replace ones of the same names."""
-    d = docs.drop("n_words", "n_hit", "spans", "items")
+    d = docs.drop(*[f"{prefix}{c}" for c in ("n_words", "n_hit", "spans", "items")])
     found = [_scan(d.sparkSession, items, window, text_of(text))
              for items in _blocks(bench, item_id, item_text, block_bytes)]
     if len(found) == 1:
@@ -154,9 +156,9 @@ def find_benchmark(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
                           F.greatest(x.e, r.b).alias("e"),
                           (x.n + F.greatest(F.lit(0), r.b - F.greatest(x.e, r.a - 1))).alias("n")),
                       lambda x: x.n)
-    return d.select(*[c for c in d.columns if c != "__h"], F.col("__h.n_words").alias("n_words"),
-                    hit.cast("long").alias("n_hit"), F.col("__h.spans").alias("spans"),
-                    F.col("__h.items").alias("items"))
+    return d.select(*[c for c in d.columns if c != "__h"], F.col("__h.n_words").alias(f"{prefix}n_words"),
+                    hit.cast("long").alias(f"{prefix}n_hit"), F.col("__h.spans").alias(f"{prefix}spans"),
+                    F.col("__h.items").alias(f"{prefix}items"))
 
 
 def _scan(spark: SparkSession, items: list, window: int, text: Column) -> Column:

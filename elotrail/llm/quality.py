@@ -212,12 +212,14 @@ def score(text: Column, model: Model, session) -> Column:
     return scored(text)
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, **training) -> DataFrame:
-    """Add ``score`` and ``predicted`` (1 from ``keep_from`` on) to each row of ``docs``.
+def classify(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, prefix: str = "",
+             **training) -> DataFrame:
+    """Add ``score`` and ``predicted`` (1 from ``keep_from`` on), their names after
+    ``prefix``, to each row of ``docs``.
 
     Scores come from the text alone, in one narrow pass.  A null text scores like an empty
     one, by the bias; repeated rows score alike; empty documents give no rows, and without
     labels of both kinds every score is 0.5.  Columns of the two names are replaced."""
     model = train(docs, labels, **training)
-    return (docs.withColumn("score", score(text_of(), model, docs.sparkSession))
-            .withColumn("predicted", (F.col("score") >= keep_from).cast("int")))
+    return (docs.withColumn(f"{prefix}score", score(text_of(), model, docs.sparkSession))
+            .withColumn(f"{prefix}predicted", (F.col(f"{prefix}score") >= keep_from).cast("int")))
