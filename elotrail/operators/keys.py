@@ -23,17 +23,19 @@ def assign_ids(appearances: DataFrame, existing: DataFrame | None,
     """Ids for names not in ``existing``: max(existing id) + 1, + 2, ... in
     order of first appearance.  Returns only the new (id, username) rows.
 
-    first appearance = ``min(struct(order))`` per name (partial aggregation,
-    a hot name is one row per task); the dense numbering is a range-sliced
-    running count (no single-task window)."""
-    first = appearances.groupBy("username").agg(
-        F.min(F.struct(*order_cols)).alias("o"))
+    first appearance = the least order per name (partial aggregation, a hot
+    name is one row per task; a single number as order aggregates by hash, a
+    struct by sorting); the dense numbering is a range-sliced running count (no
+    single-task window)."""
+    order = F.struct(*order_cols) if len(order_cols) > 1 else F.col(order_cols[0])
+    first = appearances.groupBy("username").agg(F.min(order).alias("o"))
     if existing is not None:
         first = first.join(existing.select("username"), "username", "left_anti")
         base = F.coalesce(existing.select(F.max("id")).scalar(), F.lit(0))
     else:
         base = F.lit(0)
-    flat = first.select("username", *[F.col(f"o.{c}").alias(c) for c in order_cols])
+    flat = first.select("username", *[
+        (F.col(f"o.{c}") if len(order_cols) > 1 else F.col("o")).alias(c) for c in order_cols])
     ranked = cumulative_before(flat, [], list(order_cols))
     return ranked.select((base + F.col("_before") + 1).cast("int").alias("id"), "username")
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,8 @@ from ..schema import GAMES_COLUMNS, GAMES_SCHEMA, USERS_SCHEMA
 from ..session import ensure_checkpoint_dir, exists, temporary
 from ..sources.pgn import encode_games, parse_tags, read_pgn
 
-ORDER = ("file", "block", "pos")
+ORDER = ("pos",)
+SPLIT_ROWS = 1 << 33  # Spark numbers the rows of a task with so many places
 PARTITION = "event_month"
 FILES_A_MONTH = 8
 STORED_GAMES_SCHEMA = T.StructType(GAMES_SCHEMA.fields + [T.StructField(PARTITION, T.StringType())])
@@ -125,12 +126,25 @@ def _append(df: DataFrame, path: str, *partitions: str) -> int:
     return n
 
 
+def _in_order(tags: DataFrame) -> DataFrame:
+    """``pos`` as one number that orders all records by (file, block, place): the rank of
+    the record's split, then its place.  One row per split of the input is ranked and
+    sent to the tasks."""
+    splits = tags.select("file", "block").distinct()
+    rank = F.row_number().over(Window.orderBy("file", "block")).cast("long")
+    ranks = F.broadcast(splits.select("file", "block", rank.alias("_rank")))
+    return (tags.join(ranks, ["file", "block"])
+            .withColumn("pos", F.col("_rank") * SPLIT_ROWS + F.col("pos") % SPLIT_ROWS)
+            .drop("_rank").select(*tags.columns))
+
+
 def _load(spark: SparkSession, tags: DataFrame, t: Tables) -> dict:
-    tags = cut(tags, "tags")  # lineage cut: the text is decoded once, reused twice
+    tags = _in_order(cut(tags, "tags"))  # lineage cut: the text is decoded once
     existing_users = load_users(spark, t.root)
     # names the dimension cannot hold are left out *before* numbering, so the
     # ids stay dense; their games are rejected (no id) by the check below
-    new_users = assign_ids(valid_usernames(name_appearances(tags)), existing_users)
+    named = name_appearances(tags, ORDER).withColumn("place", F.col("pos") * 2 + F.col("slot"))
+    new_users = assign_ids(valid_usernames(named), existing_users, ("place",))
     users_added = _append(cut(new_users, "new-users"), t.users)
     users = load_users(spark, t.root)
     # encoded once: the accepted games, their months and the rejects all
