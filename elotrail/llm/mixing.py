@@ -11,6 +11,7 @@ from .common import text_of
 WEIGHTS = (5, 2, 1)  # by rank of the source, repeating
 MAX_REPEATS = 3      # a source gives at most so many times its size
 BUCKETS = 1024       # slices of a source's order, and of the queue up to virtual time 1
+LAST_STEP = 16 * BUCKETS  # later times share a slice; the cut hardly ever gets there
 
 
 def word_count(text: Column) -> Column:
@@ -64,20 +65,19 @@ def shuffle_key(doc_id: Column, seed: int = 0) -> Column:
 
 
 def _running(df: DataFrame, keys: list[str], bucket: str, order: list, value: str,
-             out: str) -> DataFrame:
+             out: str, below: str | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` up to and with each row in (bucket, order) within
-    ``keys``.  Buckets are summed first; only a bucket's rows meet in a task."""
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("__s"))
+    ``keys`` (not null).  Buckets are summed first; only a bucket's rows meet in a task.
+    With ``below``, buckets before which the sum has reached that column are left out."""
+    extra = [F.first(below).alias(below)] if below else []
+    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("__s"), *extra)
     before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(bucket).alias("__b"),
-                       F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__off"))
+    sums = sums.withColumn("__off", F.coalesce(F.sum("__s").over(before), F.lit(0)))
+    if below:
+        sums = sums.filter(F.col("__off") < F.col(below))
     inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    on = F.col(bucket) == F.col("__b")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return (df.withColumn("__in", F.sum(value).over(inside)).join(sums, on)
-            .withColumn(out, F.col("__off") + F.col("__in"))
-            .drop("__in", "__off", "__b", *[f"__{k}" for k in keys]))
+    return (df.join(sums.select(*keys, bucket, "__off"), [*keys, bucket])
+            .withColumn(out, F.col("__off") + F.sum(value).over(inside)).drop("__off"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS,
@@ -100,25 +100,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
                     word_count(F.col(text)).alias("size"),
                     *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
-    t = source_targets(d, weights, repeats).withColumnRenamed("source", "s")
-    d = (d.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    name = F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("")).alias("name")
+    t = source_targets(d, weights, repeats).select(name, "source_size", "total", "target")
+    d = (d.select("*", name).join(t, "name")
          .withColumn("key", shuffle_key(F.col("doc_id"), seed))
          .withColumn("slice", F.shiftrightunsigned("key", 60 - (BUCKETS - 1).bit_length())))
-    d = cut(_running(d, ["source"], "slice", ["key", "doc_id", "size"], "size", "cum"), "queue")
+    d = cut(_running(d, ["name"], "slice", ["key", "doc_id", "size"], "size", "cum"), "queue")
 
     def place(round_: Column) -> list[Column]:
         """Place in the queue of a document's copy in a round."""
         finish = (round_ * F.col("source_size") + F.col("cum")).cast("double") / F.col("target")
-        return [finish.alias("finish"), F.col("source").isNull().alias("last"),
-                F.coalesce("source", F.lit("")).alias("name"), round_.alias("round"),
-                F.col("cum"), F.col("key"), F.col("doc_id")]
+        return [finish.alias("finish"), F.col("source").isNull().alias("last"), F.col("name"),
+                round_.alias("round"), F.col("cum"), F.col("key"), F.col("doc_id")]
 
     rounds = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
     q = (d.filter(F.col("size") > 0).select("*", rounds.alias("r"))
          .select("size", "total", *place(F.col("r"))))
     order = q.columns[2:]
-    q = _running(q.withColumn("step", F.floor(F.col("finish") * BUCKETS)), [], "step", order,
-                 "size", "queued")
+    step = F.least(F.floor(F.col("finish") * BUCKETS), F.lit(LAST_STEP))
+    q = _running(q.withColumn("step", step), [], "step", order, "size", "queued", below="total")
     end = (q.filter(2 * F.col("queued") - F.col("size") <= 2 * F.col("total"))
            .agg(F.max(F.struct(*order)).alias("end")).first()["end"])  # one row
     kinds = {f.name: f.dataType for f in q.schema}
