@@ -106,10 +106,12 @@ def _mix() -> str:
 
 
 def _benchmark() -> str:
-    words = f"regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    words = (f"regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), "
+             "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
     return f"""
     WITH item AS (SELECT item_id::VARCHAR AS item, {words} AS w FROM benchmark),
-    win AS (SELECT item, least(10, len(w)) AS size, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS win
+    win AS (SELECT item, least(10, len(w)) AS size,
+                   array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS win
             FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k
                   FROM item WHERE len(w) > 0)),
     wins AS (SELECT DISTINCT item, size, win FROM win),
@@ -117,9 +119,11 @@ def _benchmark() -> str:
     pos AS (SELECT doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') AS win
            FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k
                  FROM d, (SELECT DISTINCT size FROM wins) WHERE len(w) >= size)),
-    hit AS (SELECT doc_id, pos.size, k, item FROM pos JOIN wins ON pos.win = wins.win AND pos.size = wins.size),
+    hit AS (SELECT doc_id, pos.size, k, item
+            FROM pos JOIN wins ON pos.win = wins.win AND pos.size = wins.size),
     word AS (SELECT doc_id, count(DISTINCT n) AS n_hit
-             FROM (SELECT doc_id, unnest(range(k, k + size)) AS n FROM (SELECT DISTINCT doc_id, size, k FROM hit))
+             FROM (SELECT doc_id, unnest(range(k, k + size)) AS n
+                   FROM (SELECT DISTINCT doc_id, size, k FROM hit))
              GROUP BY doc_id),
     items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS l
               FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)

@@ -152,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, rounds: i
     of the id are learned from, so the fit costs the same at any size; several labels of
     one id count by their majority (a tie as 1), null ones not.  The sampled texts are
     turned into sparse features where they lie; ``shards`` learners each pass over their
-    fixed share in a fixed order, and their states are averaged after each round.  What reaches the driver is at most ``shards``
-    states of 2**BITS numbers."""
+    fixed share in a fixed order, and their states are averaged after each round.  What
+    reaches the driver is at most ``shards`` states of 2**BITS numbers."""
     digest = F.md5(F.col("doc_id").cast("string"))
     known = (labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()
                            & ~held_out(F.col("doc_id")))

@@ -164,8 +164,11 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, sample: int = SAMPLE,
         value = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
         filed.append(F.struct(F.lit(i).alias("part"), value.alias("value")))
         probes.append(_flipped(i, value, flips))
-    rows = lambda e, name: prints.select(F.col("fp").alias(name), F.explode(e).alias("k")).select(
-        name, "k.part", "k.value")
+
+    def rows(keys: Column, name: str) -> DataFrame:
+        return prints.select(F.col("fp").alias(name), F.explode(keys).alias("k")).select(
+            name, "k.part", "k.value")
+
     base, probe = rows(F.array(*filed), "a"), rows(F.concat(*probes), "b")
     full = (base.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") > crowded).select("part", "value", F.lit(True).alias("crowd")))
