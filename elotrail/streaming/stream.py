@@ -144,9 +144,11 @@ def _assemble_group(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
 
     A ``[Event`` line opens a record (dropping an unfinished one: no tag
     leaks); a movetext line starting with '1' closes it; notes and other
-    lines between are passed over; state keeps the open record between micro-batches (at most one game's lines).  Memory per
-    call is one key's lines of one micro-batch, bounded by
-    ``maxOffsetsPerTrigger`` (topic) or ``maxFilesPerTrigger`` (file log)."""
+    lines between are passed over; state keeps the open record between
+    micro-batches (at most one game's lines).  Memory per call is one key's
+    lines of one micro-batch: ``maxOffsetsPerTrigger`` bounds it for a topic,
+    the size of a file for the file log.  This is the small path; whole
+    records from landing files (T4) are the one that scales."""
     pdf = pd.concat(list(batches)).sort_values("offset")
     if state.exists:
         lines_s, first = state.get
