@@ -15,22 +15,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.stage import cut
 from .common import text_of
 
 BITS = 18              # features are hashed to 2**BITS weights
 TRAIN_ROWS = 20_000    # bound on the labelled rows trained on, the ones of smallest digest
-SHARDS = 8             # learners that run side by side and are averaged after each round
-ROUNDS = 4
-ALPHA, BETA, L1, L2 = 4.0, 1.0, 1e-5, 1e-6
+SHARDS = 4             # learners that run side by side, and whose weights are averaged
+ROUNDS = 6             # passes of each over its rows
+PIECES = 16            # weights are averaged in so many pieces
+ALPHA, BETA, L1, L2 = 8.0, 1.0, 1e-5, 1e-6
 KEEP_FROM = 0.3
 TOKENS = re.compile(r"\w+|[^\w\s]+")
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 150_000
 _CHUNK = 1 << 20       # characters worked on at once
 
 _cache: dict[str, int] = {}
@@ -150,53 +149,52 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, rounds: i
 
     Held-out ids are left out first.  Of the others the ``bound`` with the smallest digest
     of the id are learned from, so the fit costs the same at any size; several labels of
-    one id count by their majority (a tie as 1), null ones not.  The sampled texts are
-    turned into sparse features where they lie; ``shards`` learners each pass over their
-    fixed share in a fixed order, and their states are averaged after each round.  What
-    reaches the driver is at most ``shards`` states of 2**BITS numbers."""
+    one id count by their majority (a tie as 1), null ones not.  Only the sampled texts are
+    shuffled, to ``shards`` learners; each passes ``rounds`` times over its fixed share in a
+    fixed order, and their weights are averaged, piece by piece.  What reaches the driver
+    is the average of 2**BITS numbers."""
     digest = F.md5(F.col("doc_id").cast("string"))
     known = (labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()
                            & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-             .orderBy(digest, "doc_id").limit(bound))
-    rows = [(r["doc_id"], r["label"]) for r in known.collect()]  # bounded by the parameter
+             .select(F.col("doc_id").alias("of"), digest.alias("place"), "label")
+             .orderBy("place", "of").limit(bound))
+
     size = 1 << BITS
-    ones = sum(y for _, y in rows)
-    if not 0 < ones < len(rows):
-        return Model(np.zeros(size), 0.0)
-    picked = docs.sparkSession.createDataFrame(
-        pd.DataFrame(rows, columns=["of", "label"]).assign(place=range(len(rows))))
 
-    @F.arrow_udf("struct<i:array<int>,v:array<double>>")
-    def sparse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.struct([("i", pa.list_(pa.int32())), ("v", pa.list_(pa.float64()))])
-        for a in batches:
-            yield pa.array([{"i": i, "v": v} for i, v in map(features, a.to_pylist())], kind)
-
-    data = cut(docs.select("doc_id", text_of().alias("text"))
-               .join(F.broadcast(picked), F.col("doc_id") == F.col("of"))  # at most ``bound`` rows
-               .select("place", "label", F.md5("text").alias("tie"), sparse("text").alias("x"))
-               # an id that several rows have counts once
-               .groupBy("place").agg(F.min_by(F.struct("label", "x"), "tie").alias("r"))
-               .select((F.col("place") % shards).alias("shard"), "place", F.col("r.label").alias("label"),
-                       F.col("r.x.i").alias("i"), F.col("r.x.v").alias("v")), "features")
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
-    for _ in range(rounds):
-        sent = docs.sparkSession.sparkContext.broadcast((z, n))
-
-        def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-            z, n = (x.copy() for x in sent.value)
-            pdf = pdf.sort_values("place")
-            ftrl([(np.asarray(i, np.int64), np.asarray(v), y)
-                  for i, v, y in zip(pdf["i"], pdf["v"], pdf["label"])], z, n)
-            return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "z": [z.tobytes()], "n": [n.tobytes()]})
-
-        states = sorted((r["shard"], r["z"], r["n"]) for r in data.groupBy("shard").applyInPandas(
-            learn, "shard long, z binary, n binary").collect())
-        z = np.mean([np.frombuffer(s[1]) for s in states], axis=0) if states else z
-        n = np.mean([np.frombuffer(s[2]) for s in states], axis=0) if states else n
-        sent.unpersist()
-    w = _weights(z, n)
+    def learn(t: pa.Table) -> pa.Table:
+        t = t.sort_by("place")
+        labels = t["label"].to_pylist()
+        rows = [(*features(x), y) for x, y in zip(t["text"].to_pylist(), labels)]
+        z, n = np.zeros(size + 1), np.zeros(size + 1)
+        for _ in range(rounds):
+            ftrl(rows, z, n)
+        pieces = np.array_split(_weights(z, n), PIECES)
+        each = lambda v: pa.array([v] * PIECES, pa.int32())
+        return pa.table({"piece": pa.array(range(PIECES), pa.int32()), "shard": each(t["shard"][0].as_py()),
+                         "rows": each(len(rows)), "ones": each(sum(labels)),
+                         "weights": pa.array([p.tobytes() for p in pieces], pa.binary())})
+
+    def average(t: pa.Table) -> pa.Table:
+        t = t.sort_by("shard")  # a fixed order of addition
+        mean = np.mean([np.frombuffer(x) for x in t["weights"].to_pylist()], axis=0)
+        count = lambda c: pa.array([sum(t[c].to_pylist())], pa.int32())
+        return pa.table({"piece": t["piece"][:1], "rows": count("rows"), "ones": count("ones"),
+                         "weights": pa.array([mean.tobytes()], pa.binary())})
+
+    means = (docs.select("doc_id", text_of().alias("text"))
+             .join(F.broadcast(known), F.col("doc_id") == F.col("of"))  # at most ``bound`` rows
+             # an id that several rows have counts once
+             .groupBy("place").agg(F.min_by(F.struct("label", "text"), F.md5("text")).alias("r"))
+             .select(F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("shard"), "place", "r.*")
+             .groupBy("shard").applyInArrow(
+                 learn, "piece int, shard int, rows int, ones int, weights binary")
+             .groupBy("piece").applyInArrow(average, "piece int, rows int, ones int, weights binary")
+             .collect())
+    means.sort(key=lambda r: r["piece"])
+    if not means or not 0 < means[0]["ones"] < means[0]["rows"]:
+        return Model(np.zeros(size), 0.0)
+    w = np.concatenate([np.frombuffer(r["weights"]) for r in means])
     return Model(w[:-1], float(w[-1]))
 
 
