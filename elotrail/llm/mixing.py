@@ -97,9 +97,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_
     source, round and order; repeated rows count each; an empty table gives no rows.
     ``keep`` names further columns that come along as kept_0, kept_1, ..."""
     from ..operators.stage import cut
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
-                    word_count(F.col(text)).alias("size"),
-                    *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
+    # the words are counted once; all that follows reads these narrow rows
+    d = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
+                        word_count(F.col(text)).alias("size"),
+                        *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]), "sizes")
     name = F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("")).alias("name")
     t = source_targets(d, weights, repeats).select(name, "source_size", "total", "target")
     d = (d.select("*", name).join(t, "name")
