@@ -10,6 +10,7 @@ from .common import text_of
 
 WEIGHTS = (5, 2, 1)  # by rank of the source, repeating
 MAX_REPEATS = 3      # a source gives at most so many times its size
+SALTS = 16
 BUCKETS = 1024       # slices of a source's order, and of the queue up to virtual time 1
 LAST_STEP = 16 * BUCKETS  # later times share a slice; the cut hardly ever gets there
 
@@ -103,7 +104,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_
                         *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]), "sizes")
     name = F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("")).alias("name")
     t = source_targets(d, weights, repeats).select(name, "source_size", "total", "target")
-    d = (d.select("*", name).join(t, "name")
+    # a source that owns most rows is dealt over SALTS keys of the join
+    t = t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int").alias("salt")
+    d = (d.select("*", name, salt).join(t, ["name", "salt"]).drop("salt")
          .withColumn("key", shuffle_key(F.col("doc_id"), seed))
          .withColumn("slice", F.shiftrightunsigned("key", 60 - (BUCKETS - 1).bit_length())))
     d = cut(_running(d, ["name"], "slice", ["key", "doc_id", "size"], "size", "cum"), "queue")
