@@ -1,9 +1,10 @@
 """Operator 2: licence scans by sentence-rule recognition.
 
 A text is cut into sentences, each is normalised (A-Z lower-cased, everything but a-z
-and 0-9 to single spaces) and looked up among known licence sentences.  A sentence that
-is not known whole is looked up line by line, so a notice on a line of its own is seen
-without a full stop before it, and a hard-wrapped sentence is seen as one.  The ordered
+and 0-9 to single spaces) and looked up among known licence sentences.  In a sentence that
+is not known whole, the longest run of lines from each line on that is a known sentence is
+one, so a notice is seen without a full stop before it (below a heading or a copyright
+line), hard-wrapped or not; every other line is a sentence of its own.  The ordered
 rules - sequences of sentence ids - are then matched against the document's sequence: an
 earlier rule takes its sentences before a later one.
 """
@@ -91,15 +92,47 @@ def _pieces(text: str, end: re.Pattern, at: int = 0) -> Iterator[tuple[int, str]
 _LINE = re.compile("\n")
 
 
-def recognise(text: str, known: dict[str, str]) -> list[tuple[str, int, int]]:
+def heads_of(known: dict[str, str]) -> dict[str, list[str]]:
+    """The known sentences by their first word."""
+    heads: dict[str, list[str]] = {}
+    for form in known:
+        heads.setdefault(form.split(" ", 1)[0], []).append(form)
+    return heads
+
+
+def _runs(lines: list[tuple[str, int, int]], known: dict[str, str],
+          heads: dict[str, list[str]]) -> Iterator[tuple[str, int, int]]:
+    """(sentence id or "", start, end) of lines (form, start, end), none of an empty form:
+    from each line on, the longest run that is known, or else the line."""
+    k = 0
+    while k < len(lines):
+        run, start, end = lines[k]
+        name, after = known.get(run, ""), k + 1
+        open_ = [f for f in heads.get(run.split(" ", 1)[0], ()) if f.startswith(run)]
+        for n in range(k + 1, len(lines) if open_ else 0):
+            run = f"{run} {lines[n][0]}"
+            open_ = [f for f in open_ if f.startswith(run)]
+            if not open_:
+                break
+            if run in known:
+                name, end, after = known[run], lines[n][2], n + 1
+        yield name, start, end
+        k = after
+
+
+def recognise(text: str, known: dict[str, str],
+              heads: dict[str, list[str]] | None = None) -> list[tuple[str, int, int]]:
     """(sentence id or "", start, end) of each sentence that has a letter or digit of ASCII."""
-    out = []
+    heads, out = heads_of(known) if heads is None else heads, []
     for at, sentence in _pieces(text, END):
-        name = known.get(normalise(sentence))
-        lines = [(at, sentence)] if name or "\n" not in sentence else _pieces(sentence, _LINE, at)
-        for start, s in lines:
-            if form := normalise(s):
-                out.append((known.get(form, ""), start, start + len(s)))
+        form = normalise(sentence)
+        if form in known or "\n" not in sentence:
+            if form:
+                out.append((known.get(form, ""), at, at + len(sentence)))
+            continue
+        lines = [(f, start, start + len(s)) for start, s in _pieces(sentence, _LINE, at)
+                 if (f := normalise(s))]
+        out.extend(_runs(lines, known, heads))
     return out
 
 
@@ -127,7 +160,7 @@ def scan(text: Column, sentences: dict[str, str] | None = None,
     """struct(n_sentences, ids, matches) of a text (not null); a match has its licence and
     the characters from its first to its last sentence.  The tables are code-sized."""
     known = {normalise(s): i for i, s in (sentences or SENTENCES).items()}
-    order = rules or RULES
+    heads, order = heads_of(known), rules or RULES
     match = pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
     kind = pa.struct([("n_sentences", pa.int64()), ("ids", pa.list_(pa.string())),
                       ("matches", pa.list_(match))])
@@ -138,7 +171,7 @@ def scan(text: Column, sentences: dict[str, str] | None = None,
         for a in batches:
             out = []
             for t in a.to_pylist():
-                found = recognise(t, known)
+                found = recognise(t, known, heads)
                 out.append({"n_sentences": len(found), "ids": [f[0] for f in found if f[0]],
                             "matches": [{"license": x, "start": found[i][1], "end": found[j][2]}
                                         for x, i, j in match_rules([f[0] for f in found], order)]})

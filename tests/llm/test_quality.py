@@ -97,3 +97,59 @@ def test_license_documents(spark):
     assert out[1]["licenses"] == ["MIT", "all-rights-reserved"] and out[1]["n_sentences"] == 3
     assert out[4]["licenses"] == ["MIT"] and out[5]["licenses"] == [] and out[2]["n_sentences"] == 0
     assert scan_licenses(docs).count() == 6 and scan_licenses(docs.limit(0)).count() == 0
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Jane Roe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
+"""
+BSD_TEXT = """BSD 3-Clause License
+
+Copyright (c) 2020, Jane Roe
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+"""
+APACHE_TEXT = """   Copyright 2020 Jane Roe
+
+   Licensed under the Apache License,
+   Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License
+   at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def test_standard_texts_below_heading_and_copyright_line(spark):
+    texts = {1: (MIT_TEXT, "MIT", ["mit-grant", "mit-keep"]), 2: (BSD_TEXT, "BSD", ["bsd-use"]),
+             3: (APACHE_TEXT, "Apache-2.0", ["apache-2-the", "apache-2-use", "apache-2-copy"])}
+    for k, (t, name, ids) in list(texts.items()):
+        texts[k + 10] = (t.replace("\n", "\r\n"), name, ids)
+        texts[k + 20] = ("\n".join(f" * {line}" for line in t.split("\n")), name, ids)
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in texts.items()], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in scan_licenses(docs).collect()}
+    for k, (t, name, ids) in texts.items():
+        assert (out[k]["licenses"], out[k]["sentence_ids"]) == ([name], ids)
+        m, = out[k]["matches"]
+        first, last = normalise(SENTENCES[ids[0]]), normalise(SENTENCES[ids[-1]])
+        assert normalise(t[m["start"]:m["end"]]).startswith(first)
+        assert normalise(t[m["start"]:m["end"]]).endswith(last)
+    known = {normalise("a b c"): "abc", normalise("a b"): "ab", normalise("c d"): "cd"}
+    ids = lambda t: [f[0] for f in recognise(t, known)]
+    assert ids("x\na\nb\nc\nd") == ["", "abc", ""] and ids("x\na\nb\ny\nc\n\nd") == ["", "ab", "", "cd"]
