@@ -81,6 +81,30 @@ def test_documents_and_their_neighbours(spark):
     assert out[5]["near_next"] == 0.0 and out[9]["near_edited"] == 1.0
 
 
+def test_short_document_inside_the_next(spark):
+    rng = random.Random(5)
+    texts = {}
+    for k, n in enumerate([5, 7, 10, 14, 24, 24, 34, 60, 200, 400]):
+        short = words(rng, n, 10**6)
+        half = " ".join(short.split()[:n // 2 + 2])
+        texts[4 * k] = short
+        texts[4 * k + 1] = f"{words(rng, 1500, 10**6)} {short} {words(rng, 1500, 10**6)}"
+        texts[4 * k + 2] = short  # of which about half is in the next one
+        texts[4 * k + 3] = f"{words(rng, 3000, 10**6)} {half}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r["near_next"] for r in sketch.fingerprint_documents(docs).collect()}
+    grams = lambda t: {tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)}
+    for k in range(0, len(texts), 2):
+        own, after = grams(texts[k]), grams(texts[k + 1])
+        share = len(own & after) / len(own)
+        if share == 1 or len(own) <= 32:  # all shingles of such a text are in its sketch
+            assert out[k] == share
+        else:
+            assert abs(out[k] - share) < 0.35
+        if k + 2 in texts:
+            assert out[k + 1] == 0.0 or grams(texts[k + 1]) & grams(texts[k + 2])
+
+
 def test_repeated_null_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h")] * 2 + [(None, "x y z"), (None, None)],
                                  "doc_id long, text string")
