@@ -131,6 +131,7 @@ def find_benchmark(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
     with more blocks each is scanned for itself, and the results of a (doc_id, text)
     are joined.  A null text has no words; null items count for nothing, and items
     that share an id are one; an empty benchmark hits nothing; repeated rows stay.
+    Spans are those of the runs of hit words, whatever the number of blocks.
     The four columns replace ones of the same names."""
     d = docs.drop(*[f"{prefix}{c}" for c in ("n_words", "n_hit", "spans", "items")])
     found = [_scan(d.sparkSession, items, window, text_of(text))
@@ -144,23 +145,44 @@ def find_benchmark(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
         for p in parts[1:]:
             both = both.union(p)
         each = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-        h = both.groupBy("__d", "__t").agg(F.struct(
-            F.max("h.n_words").alias("n_words"), each("h.runs").alias("runs"),
-            each("h.spans").alias("spans"), each("h.items").alias("items")).alias("__h"))
+        found_ = F.arrays_zip(F.col("h.runs").alias("run"), F.col("h.spans").alias("span"))
+        h = both.groupBy("__d", "__t").agg(
+            F.max("h.n_words").alias("n_words"), _merged(each(found_)).alias("found"),
+            each("h.items").alias("items"))
+        h = h.select("__d", "__t", F.struct(
+            "n_words", F.col("found.run").alias("runs"), F.col("found.span").alias("spans"),
+            "items").alias("__h"))
         d = (d.withColumn("__u", key[1]).join(
             h, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.col("__u") == F.col("__t")))
             .drop("__d", "__t", "__u"))
-    # words in any run: runs come in order, and those of different blocks may overlap
-    hit = F.aggregate("__h.runs", F.struct(F.lit(-1).alias("e"), F.lit(0).alias("n")),
-                      lambda x, r: F.struct(
-                          F.greatest(x.e, r.b).alias("e"),
-                          (x.n + F.greatest(F.lit(0), r.b - F.greatest(x.e, r.a - 1))).alias("n")),
-                      lambda x: x.n)
+    # runs come in order, and none meets another
+    hit = F.aggregate("__h.runs", F.lit(0), lambda n, r: n + r.b - r.a + 1)
     return d.select(*[c for c in d.columns if c != "__h"], F.col("__h.n_words").alias(f"{prefix}n_words"),
                     hit.cast("long").alias(f"{prefix}n_hit"), F.col("__h.spans").alias(f"{prefix}spans"),
                     F.col("__h.items").alias(f"{prefix}items"))
 
 
+def _merged(found: Column) -> Column:
+    """Of sorted (run, span) pairs, those that overlap or adjoin in words put together."""
+    # e: last word so far; done: runs that are over; open: the one that may go on
+    kind = ("struct<e:int,done:array<struct<run:struct<a:int,b:int>,span:struct<a:int,b:int>>>,"
+            "open:struct<run:struct<a:int,b:int>,span:struct<a:int,b:int>>>")
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+
+    def step(x: Column, f: Column) -> Column:
+        o, meets = x["open"], f["run"]["a"] <= x["e"] + 1
+        joined = F.struct(
+            pair(o["run"]["a"], F.greatest(o["run"]["b"], f["run"]["b"])).alias("run"),
+            pair(o["span"]["a"], F.greatest(o["span"]["b"], f["span"]["b"])).alias("span"))
+        done = F.when(o.isNull() | meets, x["done"]).otherwise(F.concat(x["done"], F.array(o)))
+        return F.struct(F.greatest(x["e"], f["run"]["b"]).alias("e"), done.alias("done"),
+                        F.when(meets & o.isNotNull(), joined).otherwise(f).alias("open")).cast(kind)
+
+    zero = F.struct(F.lit(-2).alias("e"), F.array().alias("done"), F.lit(None).alias("open")).cast(kind)
+    return F.aggregate(found, zero, step, lambda x: F.when(x["open"].isNull(), x["done"]).otherwise(
+        F.concat(x["done"], F.array(x["open"]))))
+
+
 def _scan(spark: SparkSession, items: list, window: int, text: Column) -> Column:
     """What the automaton of ``items`` finds in ``text``, as a struct."""
     sent, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex

@@ -42,6 +42,19 @@ def test_equals_a_plain_search(spark):
         assert {r["n_hit"] for r in find_benchmark(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_spans_do_not_depend_on_blocks(spark):
+    items, texts = make(3)
+    long_ = " ".join(f"w{k}" for k in range(60))
+    items += [(100 + k, " ".join(f"w{j}" for j in range(5 * k, 5 * k + 15))) for k in range(9)]
+    items += [(200, "w50 w51 w52"), (201, "w58 w59")]
+    texts += [f"Ä {long_} end", f"{long_}. {long_}", "w50 W51, w52 - w58 w59"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({r["doc_id"]: r for r in find_benchmark(docs, bench, block_bytes=b).collect()}
+                 for b in (1 << 20, 250))
+    assert one == many and any(len(r["spans"]) > 1 for r in one.values())
+
+
 def test_spans_lie_in_the_original():
     item = "One two, three four FIVE six sevän eight nine ten"
     auto = Automaton([("q", item)])
