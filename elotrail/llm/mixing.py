@@ -81,6 +81,24 @@ def _running(df: DataFrame, keys: list[str], bucket: str, order: list, value: st
             .withColumn(out, F.col("__off") + F.sum(value).over(inside)).drop("__off"))
 
 
+def _cumulated(d: DataFrame) -> DataFrame:
+    """Add ``cum``: the sum of ``size`` up to and with each row within ``name``, in the order
+    of (key, doc_id, size).
+
+    Rows equal in all of these are interchangeable, so they are counted by salt first and
+    only the counts are put in order; then each row finds its place in its salt's run.  A
+    slice's task has one row per different (doc_id, size) and salt, however often it comes."""
+    group = ["name", "slice", "key", "id", "size", "salt"]
+    d = d.withColumn("id", F.coalesce(F.concat(F.lit("+"), F.col("doc_id").cast("string")), F.lit("")))
+    runs = (d.groupBy(*group).agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+            .withColumn("words", F.col("n") * F.col("size")))
+    runs = _running(runs, ["name"], "slice", ["key", "doc_id", "size", "salt"], "words", "end")
+    nth = F.row_number().over(W.partitionBy(*group).orderBy("key"))
+    return (d.withColumn("nth", nth).join(runs.select(*group, "n", "end"), group)
+            .withColumn("cum", F.col("end") - (F.col("n") - F.col("nth")) * F.col("size"))
+            .drop("id", "salt", "nth", "n", "end"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS,
         seed: int = 0, doc_id: str = "doc_id", text: str = "text",
         source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -94,23 +112,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_
 
     Running sums go by slices (of the shuffled order within a source, of virtual time
     in the queue), so neither a source that owns most rows nor the queue meets in one
-    task.  Documents without words take part with no copies; ties in time go by
+    task, and rows that share one doc_id (or have none) are dealt over salts.  Documents without words take part with no copies; ties in time go by
     source, round and order; repeated rows count each; an empty table gives no rows.
     ``keep`` names further columns that come along as kept_0, kept_1, ..."""
     from ..operators.stage import cut
     # the words are counted once; all that follows reads these narrow rows
     d = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
                         word_count(F.col(text)).alias("size"),
+                        # written with the row, so that every reading deals alike
+                        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))
+                        .cast("int").alias("salt"),
                         *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]), "sizes")
     name = F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("")).alias("name")
     t = source_targets(d, weights, repeats).select(name, "source_size", "total", "target")
     # a source that owns most rows is dealt over SALTS keys of the join
     t = t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int").alias("salt")
-    d = (d.select("*", name, salt).join(t, ["name", "salt"]).drop("salt")
+    d = (d.select("*", name).join(t, ["name", "salt"])
          .withColumn("key", shuffle_key(F.col("doc_id"), seed))
          .withColumn("slice", F.shiftrightunsigned("key", 60 - (BUCKETS - 1).bit_length())))
-    d = cut(_running(d, ["name"], "slice", ["key", "doc_id", "size"], "size", "cum"), "queue")
+    d = cut(_cumulated(d), "queue")
 
     def place(round_: Column) -> list[Column]:
         """Place in the queue of a document's copy in a round."""

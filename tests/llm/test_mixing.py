@@ -91,3 +91,23 @@ def test_repeated_rows_nulls_and_no_rows(spark):
         map(str, out)) == sorted(map(str, mix(docs.repartition(3)).collect()))
     assert mix(docs.limit(0)).count() == 0
     assert [r["taken"] for r in mix(docs.filter("doc_id = 2")).collect()] == [0]
+
+
+def test_a_hot_or_null_doc_id_does_not_meet_in_one_task(spark, monkeypatch):
+    from elotrail.llm import mixing
+    met, running = [], mixing._running
+
+    def watched(df, keys, bucket, *args, **kw):
+        met.append(df.groupBy(*keys, bucket).count().agg(F.max("count")).first()[0])
+        return running(df, keys, bucket, *args, **kw)
+
+    monkeypatch.setattr(mixing, "_running", watched)
+    rng = random.Random(7)
+    rows = [(rng.choice([None, 7]), "a", rng.choice([1, 5])) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, s, "w " * n) for i, s, n in rows],
+                                 "doc_id long, source string, text string").repartition(4)
+    got = {}
+    for r in mix(docs).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["taken"]
+    assert met[0] <= 2 * mixing.SALTS  # two sizes of an id
+    assert got == plain_mix(rows)[1]
