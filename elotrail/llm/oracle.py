@@ -132,5 +132,43 @@ def _benchmark() -> str:
     FROM d LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def _audit() -> str:
+    fails = {"A": "words < 200", "B": "100 * different < 50 * words", "C": "100 * capitals > 2 * chars",
+             "D": "marked", "E": "copy"}
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS l,
+                 doc_id > min(doc_id) OVER (PARTITION BY t) AS copy FROM d),
+    m AS (SELECT doc_id, part, len(l) AS words, len(list_distinct(l)) AS different, length(t) AS chars,
+                 len(regexp_extract_all(t, '[A-Z]')) AS capitals,
+                 regexp_matches(t, '[#$%&*|]') AS marked, coalesce(copy, false) AS copy FROM w),
+    mark AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic
+             FROM labels GROUP BY doc_id),
+    f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                 [{', '.join(fails.values())}] AS failed FROM m LEFT JOIN mark USING (doc_id)),
+    n AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good,
+                 count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, failed),
+    letter AS (SELECT unnest(range(1, 6)) AS i),
+    orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o
+               FROM letter a, letter b, letter c, letter d, letter e
+               WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+    steps AS (SELECT o, i AS step, o[i] AS own, o[1:i - 1] AS before FROM orders, letter),
+    x AS (SELECT part, o, step, own, n, good, toxic, failed[own] AS fail,
+                 len(list_filter(before, lambda b: failed[b])) > 0 AS gone,
+                 len(list_filter(failed, lambda b: b)) AS fails FROM n, steps),
+    r AS (SELECT part, o, step, own,
+                 sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END)::BIGINT AS kept,
+                 sum(CASE WHEN NOT gone AND fail THEN n ELSE 0 END)::BIGINT AS removed,
+                 sum(CASE WHEN gone AND fail THEN n ELSE 0 END)::BIGINT AS redundant,
+                 sum(CASE WHEN fail AND fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                 sum(CASE WHEN NOT gone AND fail THEN good ELSE 0 END)::BIGINT AS good_lost,
+                 sum(CASE WHEN NOT gone AND fail THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+          FROM x GROUP BY part, o, step, own)
+    SELECT part, array_to_string([substr('ABCDE', i, 1) FOR i IN o], '') AS filter_order,
+           step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+    FROM r"""
+
+
 ORACLE = {"op2_license_scans": _licenses(), "op4_url_filters": _urls(), "op9_mixing": _mix(),
-          "op10_benchmark_decontamination": _benchmark()}
+          "op10_benchmark_decontamination": _benchmark(), "op12_filter_audit": _audit()}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .common import table
 from .decontaminate import find_benchmark
+from .filter_audit import audit_documents
 from .licenses import scan_licenses
 from .mixing import mix
 from .quality import classify, held_out
@@ -86,6 +87,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -94,4 +99,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_license_scans, op3_quality_classifier, op4_url_filters, op5_sharding,
     op6_document_fingerprints, op7_simhash_near_dedup, op8_token_files, op9_mixing,
-    op10_benchmark_decontamination, pipeline)}
+    op10_benchmark_decontamination, op12_filter_audit, pipeline)}
