@@ -14,6 +14,7 @@ from .filter_audit import audit_documents
 from .licenses import scan_licenses
 from .mixing import mix
 from .quality import classify, held_out
+from .runs import periodic_runs
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .sketch import fingerprint_documents
@@ -91,6 +92,37 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text of ``documents``, in a tenth of them (h = crc32 of the id, h % 10 = 0) with
+    the words from a = g % n on repeating a period of 1 + (n - a) div (3 + g % 8) words, g = h div 10."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+"), "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    d = (docs.select("doc_id", "text", F.when(h % 10 == 0, g).alias("g"))
+         .withColumn("n", F.when(F.col("g").isNotNull(), F.size(words))))
+    a = (F.col("g") % F.col("n")).cast("int")
+    rest = F.col("n") - a
+    p = 1 + F.floor(rest / (3 + F.col("g") % 8)).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil(rest / p).cast("int")))
+    text = F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), rest)), " ")
+    return d.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")),
+        F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length DIV -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -99,4 +131,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_license_scans, op3_quality_classifier, op4_url_filters, op5_sharding,
     op6_document_fingerprints, op7_simhash_near_dedup, op8_token_files, op9_mixing,
-    op10_benchmark_decontamination, op12_filter_audit, pipeline)}
+    op10_benchmark_decontamination, op12_filter_audit, op13_periodic_runs,
+    pipeline)}
