@@ -21,6 +21,7 @@ from .sketch import fingerprint_documents
 from .token_counts import token_counts
 from .token_files import document_digests, read_token_files, write_token_files
 from .url_filter import judge_urls
+from .vector_graph import near_vectors
 
 #: host, path and verdict of the url rules
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
@@ -88,6 +89,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -131,5 +136,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_license_scans, op3_quality_classifier, op4_url_filters, op5_sharding,
     op6_document_fingerprints, op7_simhash_near_dedup, op8_token_files, op9_mixing,
-    op10_benchmark_decontamination, op12_filter_audit, op13_periodic_runs,
-    pipeline)}
+    op10_benchmark_decontamination, op11_embedding_near_dedup, op12_filter_audit,
+    op13_periodic_runs, pipeline)}

@@ -27,7 +27,7 @@ def test_query_equals_its_sql(spark, name):
 
 def test_registered():
     assert set(QUERIES) <= set(__spark_entry__.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
 
 
