@@ -14,18 +14,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.keys import assign_ids, encode_players, name_appearances
+from ..operators.ranking import cumulative_before
 from ..operators.stage import cut
 from ..operators.upsert import upsert_ignore
 from ..operators.validate import (RATING_COLUMNS, no_movetext, split_checked, valid_usernames,
                                   with_reason)
 from ..schema import GAMES_COLUMNS, GAMES_SCHEMA, USERS_SCHEMA
 from ..session import ensure_checkpoint_dir, exists, temporary
-from ..sources.pgn import encode_games, parse_tags, read_pgn
+from ..sources.pgn import encode_games, join_open, parse_tags, read_pgn
 
 ORDER = ("pos",)
 SPLIT_ROWS = 1 << 33  # Spark numbers the rows of a task with so many places
@@ -126,20 +127,20 @@ def _append(df: DataFrame, path: str, *partitions: str) -> int:
     return n
 
 
-def _in_order(tags: DataFrame) -> DataFrame:
+def in_order(tags: DataFrame) -> DataFrame:
     """``pos`` as one number that orders all records by (file, block, place): the rank of
-    the record's split, then its place.  One row per split of the input is ranked and
-    sent to the tasks."""
+    the record's split, then its place.  The splits are ranked by range slices, and the
+    join has no hint: one row per split, as many as the input has."""
     splits = tags.select("file", "block").distinct()
-    rank = F.row_number().over(Window.orderBy("file", "block")).cast("long")
-    ranks = F.broadcast(splits.select("file", "block", rank.alias("_rank")))
-    return (tags.join(ranks, ["file", "block"])
+    ranks = cumulative_before(splits, [], ["file", "block"], small_groups=False)
+    return (tags.join(ranks.select("file", "block", F.col("_before").alias("_rank")), ["file", "block"])
             .withColumn("pos", F.col("_rank") * SPLIT_ROWS + F.col("pos") % SPLIT_ROWS)
             .drop("_rank").select(*tags.columns))
 
 
 def _load(spark: SparkSession, tags: DataFrame, t: Tables) -> dict:
-    tags = _in_order(cut(tags, "tags"))  # lineage cut: the text is decoded once
+    tags = cut(tags, "tags")  # lineage cut: the text is decoded once
+    tags = in_order(join_open(tags) if "open" in tags.columns else tags)
     existing_users = load_users(spark, t.root)
     # names the dimension cannot hold are left out *before* numbering, so the
     # ids stay dense; their games are rejected (no id) by the check below

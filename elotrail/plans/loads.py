@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.keys import assign_ids, encode_players
+from ..operators.stage import cut
 from ..operators.upsert import upsert_ignore
 from ..schema import GAMES_COLUMNS
 from ..session import scratch_path
 from ..sources.fixtures import dirty_records, render_records, render_tags, write_dump
 from ..sources.manifest import manifest_from_games, pending_months, read_manifest, select_months
-from ..sources.pgn import TAGS, parse_tags, read_pgn
+from ..sources.pgn import TAGS, join_open, parse_tags, read_pgn
 from ..sources.results import read_result, write_result
 from .ingest import games_from_tags, with_partition
 from .queries import games_per_bracket
@@ -72,7 +73,8 @@ def pgn_dirty(spark: SparkSession, games: DataFrame, users: DataFrame) -> DataFr
     """F1-F3 and the unknown codes of P3-P7 on a dump with faults and odd layouts: games
     that come through, and the rejects with their reason."""
     path = write_dump(dirty_records(render_tags(games, users)))
-    good, bad = games_from_tags(parse_tags(read_pgn(spark, path)), users)
+    tags = join_open(cut(parse_tags(read_pgn(spark, path)), "tags"))
+    good, bad = games_from_tags(tags, users)
     cols = ["site", "event", "result", "whiteelo", "timecontrol"]
     return good.select(*cols, F.lit(None).cast("string").alias("reason")).unionByName(
         bad.select(*cols, "reason"))
@@ -106,9 +108,9 @@ def assign_user_ids(games: DataFrame, users: DataFrame) -> DataFrame:
 def assign_user_ids_incremental(games: DataFrame, users: DataFrame) -> DataFrame:
     """E1 as a second load: ids of the games before the split exist; names
     first seen later continue from the maximum id."""
-    cut = _before(ID_SPLIT)
-    early = assign_ids(appearances(games.filter(cut), users), None, ORDER)
-    return assign_ids(appearances(games.filter(~cut), users), early, ORDER)
+    before = _before(ID_SPLIT)
+    early = assign_ids(appearances(games.filter(before), users), None, ORDER)
+    return assign_ids(appearances(games.filter(~before), users), early, ORDER)
 
 
 def encode(games: DataFrame, users: DataFrame) -> DataFrame:

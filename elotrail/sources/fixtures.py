@@ -91,7 +91,9 @@ def dirty_records(tags: DataFrame) -> DataFrame:
     """Records with the faults and odd layouts of real dumps, by game id modulo 13:
     an unknown rating, a missing change, a time control of ``-``, one without ``+``, an
     unknown event, an unknown result, a note before the moves, a second blank line, moves
-    right after the tags, a repeated rating tag, and no moves at all."""
+    right after the tags, a repeated rating tag, and no moves at all.  Beside that, by the id
+    div 13 modulo 5: no blank line between games, a line of one space there, ``\\r\\n`` line ends,
+    and the site above the event."""
     k = F.col("_key").cast("long") % 13
     t = (tags.withColumn("WhiteElo", F.when(k == 1, F.lit("?")).otherwise(F.col("WhiteElo")))
          .withColumn("BlackRatingDiff", F.when(k != 2, F.col("BlackRatingDiff")))
@@ -110,6 +112,12 @@ def dirty_records(tags: DataFrame) -> DataFrame:
                                  F.substring_index(v, "\n\n", -1)))
          .when(k == 11, F.concat(F.substring_index(v, "\n\n", 1), F.lit("\n\n0-1\n")))
          .otherwise(v))
+    layout = F.floor(F.col("_key").cast("long") / 13) % 5
+    first = F.substring_index(v, "\n", 2)
+    swapped = F.concat(F.substring_index(first, "\n", -1), F.lit("\n"), F.substring_index(first, "\n", 1),
+                       F.substring(v, F.length(first) + 1, F.length(v)))
+    v = (F.when(layout == 1, F.rtrim(v, F.lit("\n"))).when(layout == 2, F.concat(v, F.lit(" ")))
+         .when(layout == 3, F.replace(v, F.lit("\n"), F.lit("\r\n"))).when(layout == 4, swapped).otherwise(v))
     return r.withColumn("value", v)
 
 

@@ -1,22 +1,29 @@
 """PGN dumps -> one row per game -> typed ``games`` rows.
 
-A dump is text: per game a block of ``[Key "Value"]`` lines, a blank line,
-the movetext line, a blank line.  Splitting the text on ``\\n\\n[Event ``
-gives one row per game straight from the (bz2-splittable) text reader, so
-parsing is a projection -- no per-line state machine, no Python.  The tag
-block is cut off once and its lines are read in one pass; the last line of a
-repeated tag counts.
+A dump is text: per game a block of ``[Key "Value"]`` lines and a movetext line
+that starts with ``1``; blank lines, line ends (``\\n``, ``\\r\\n``) and the order of the
+tags vary.  Splitting the text on ``\\n[Event `` gives one row per game straight
+from the (bz2-splittable) text reader, so parsing is a projection -- no per-line
+state machine, no Python.  A row that holds more than one game (no ``[Event``
+between them) is split again behind each closing line.  Tags that stand above
+their game's ``[Event`` line come out as an ``open`` row, which ``join_open`` adds to
+the row after it.  The tag block is cut off once and its lines are read in one
+pass; the last line of a repeated tag counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import (analyzed_flag, event_code, game_timestamp, rating_parse,
                                result_code, site_id, termination_code, time_control)
 
-RECORD_SEP = "\n\n[Event "
+RECORD_SEP = "\n[Event "
+BOM = "\ufeff"
+# a line that ends a game: movetext, or a result without moves
+CLOSING = r"\n(?:1|0-1|\*)"
+GAME = rf"(?s).+?(?:{CLOSING}[^\n]*|\z)"
 # Tags the games table keeps (everything else -- Date, Round,
 # Opening, unknown tags -- is ignored).
 TAGS = ["Event", "Site", "White", "Black", "Result", "UTCDate", "UTCTime", "WhiteElo",
@@ -25,20 +32,37 @@ TAGS = ["Event", "Site", "White", "Black", "Result", "UTCDate", "UTCTime", "Whit
 
 
 def read_pgn(spark: SparkSession, paths) -> DataFrame:
-    """(file, block, pos, raw) -- one row per game record.
+    """(file, block, pos, raw, open) -- one row per game record.
 
     ``(file, block, pos)`` is the record's position in the input, captured
-    at the scan before any shuffle; it orders first appearances for E1.
-    The ``[Event `` prefix removed by the split is restored."""
+    at the scan before any shuffle; it orders first appearances for E1."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.option("lineSep", RECORD_SEP).text(paths)
+    return with_position(split_records(spark.read.option("lineSep", RECORD_SEP).text(paths)))
+
+
+def with_position(records: DataFrame) -> DataFrame:
+    """Add ``pos``: ascending inside a split of the input, without gaps."""
+    return records.select("file", "block", F.monotonically_increasing_id().alias("pos"), "raw", "open")
+
+
+def split_records(text: DataFrame) -> DataFrame:
+    """(file, block, raw, open) of text that was read with ``RECORD_SEP``.
+
+    The ``[Event `` that the reader took off is put back.  Only a row without
+    movetext, or with a tag line behind its movetext, is looked at for further
+    games.  ``open``: tags without an ``[Event`` line that nothing closes yet."""
     raw = F.col("value")
-    raw = F.when(raw.startswith("[Event "), raw).otherwise(F.concat(F.lit("[Event "), raw))
-    return df.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-        raw.alias("raw")).filter(F.trim(F.col("raw")) != "[Event")
+    raw = F.when(raw.startswith('"'), F.concat(F.lit("[Event "), raw)).when(
+        raw.startswith(BOM), F.substring(raw, 2, 1 << 30)).otherwise(raw)
+    at = F.locate("\n1", F.col("raw"))
+    more = (at == 0) | F.substring("raw", at, F.lit(1 << 30)).contains("\n[")
+    games = F.when(more, F.regexp_extract_all("raw", F.lit(GAME), F.lit(0))).otherwise(F.array("raw"))
+    rows = text.select(F.col("_metadata.file_path").alias("file"),
+                       F.col("_metadata.file_block_start").alias("block"), raw.alias("raw"))
+    rows = rows.select("file", "block", F.explode(games).alias("raw"))
+    whole = F.col("raw").contains("\n1") | F.col("raw").startswith("[Event ") | F.col("raw").rlike(CLOSING)
+    return rows.select("file", "block", "raw", (~whole).alias("open")).filter(
+        F.col("raw").startswith("[") | F.col("raw").contains("\n["))
 
 
 TAG_LINE = r'(?m)^\[(\w+) "([^\n]*?)"\]'
@@ -54,7 +78,7 @@ def movetext(raw: Column) -> Column:
     notes before it are passed over."""
     at = F.locate("\n1", raw)
     rest = F.substring(raw, at + 1, F.length(raw))
-    return F.when(at > 0, F.substring_index(rest, "\n", 1))
+    return F.when(at > 0, F.rtrim(F.substring_index(rest, "\n", 1), F.lit("\r")))
 
 
 def parse_tags(records: DataFrame) -> DataFrame:
@@ -67,16 +91,37 @@ def parse_tags(records: DataFrame) -> DataFrame:
     head = F.struct(F.reverse(F.regexp_extract_all("head", F.lit(TAG_LINE), F.lit(1))).alias("k"),
                     F.reverse(F.regexp_extract_all("head", F.lit(TAG_LINE), F.lit(2))).alias("v"),
                     F.col("moves"))
-    once = (records.select("file", "block", "pos", header(F.col("raw")).alias("head"),
-                           movetext(F.col("raw")).alias("moves"))
-            .select("file", "block", "pos", F.explode(F.array(head)).alias("r")))
+    at = [c for c in ("file", "block", "pos", "open") if c in records.columns]
+    once = (records.select(*at, header(F.col("raw")).alias("head"), movetext(F.col("raw")).alias("moves"))
+            .select(*at, F.explode(F.array(head)).alias("r")))
 
     def tag(name: str) -> Column:
         at = F.array_position("r.k", name).cast("int")
         return F.nullif(F.get("r.v", at - 1), F.lit("")).alias(name)
 
-    return once.select("file", "block", "pos", *[tag(t) for t in TAGS],
-                       F.col("r.moves").alias("moves"))
+    return once.select(*at, *[tag(t) for t in TAGS], F.col("r.moves").alias("moves"))
+
+
+def join_open(tags: DataFrame) -> DataFrame:
+    """Add the tags of each ``open`` row to the row after it, in its split or in the next split
+    of the file that has rows; the later line of a repeated tag counts.  One with no row after it stays, as
+    a record that no movetext closes.
+
+    ``tags`` is read several times: a written table (``cut``).  Dumps with ``[Event`` first have no
+    open rows and cost one look at that column."""
+    opens = tags.filter("open")
+    if opens.isEmpty():
+        return tags.drop("open")
+    ends = tags.groupBy("file", "block").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+    later = Window.partitionBy("file").orderBy("block")
+    ends = ends.select("file", "block", "_last", F.lead("_first").over(later).alias("_next"))
+    heads = opens.join(ends, ["file", "block"]).withColumn(
+        "_to", F.when(F.col("pos") < F.col("_last"), F.col("pos") + 1).otherwise(F.col("_next")))
+    ahead = heads.filter("_to IS NOT NULL").select(
+        F.col("_to").alias("pos"), *[F.col(t).alias(f"_{t}") for t in TAGS])
+    whole = tags.filter("NOT open").join(ahead, "pos", "left").select(
+        "file", "block", "pos", *[F.coalesce(t, f"_{t}").alias(t) for t in TAGS], "moves")
+    return whole.unionByName(heads.filter("_to IS NULL").select(*whole.columns))
 
 
 def encode_games(tags: DataFrame) -> DataFrame:

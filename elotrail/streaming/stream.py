@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.ingest import ingest_tags
-from ..sources.pgn import RECORD_SEP, encode_games, parse_tags
+from ..sources.pgn import RECORD_SEP, encode_games, parse_tags, split_records, with_position
 
 LINE_SCHEMA = T.StructType([
     T.StructField("key", T.StringType()),
@@ -32,23 +32,16 @@ LINE_SCHEMA = T.StructType([
 
 # --- T4 ---------------------------------------------------------------------
 def record_stream(spark: SparkSession, landing: str, max_files: int = 1) -> DataFrame:
-    """(file, block, raw) per game from dump files arriving in ``landing``."""
-    df = (spark.readStream.option("lineSep", RECORD_SEP)
-          .option("maxFilesPerTrigger", max_files).text(landing))
-    raw = F.col("value")
-    raw = F.when(raw.startswith("[Event "), raw).otherwise(F.concat(F.lit("[Event "), raw))
-    return df.select(F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("block"),
-                     raw.alias("raw")).filter(F.trim(F.col("raw")) != "[Event")
-
-
-def with_position(batch: DataFrame) -> DataFrame:
-    """Record position inside a micro-batch (evaluated at its scan)."""
-    return batch.withColumn("pos", F.monotonically_increasing_id())
+    """(file, block, raw, open) per game from dump files arriving in ``landing``."""
+    return split_records(spark.readStream.option("lineSep", RECORD_SEP)
+                         .option("maxFilesPerTrigger", max_files).text(landing))
 
 
 def game_stream(spark: SparkSession, landing: str, max_files: int = 1) -> DataFrame:
-    """T4: typed game rows (players still as names) as a stream."""
+    """T4: typed game rows (players still as names) as a stream.
+
+    Tags above their game's ``[Event`` line come as a row of their own, which no movetext
+    closes; the load (T6), which sees whole micro-batches, puts them together."""
     recs = record_stream(spark, landing, max_files).withColumn("pos", F.lit(0).cast("long"))
     return encode_games(parse_tags(recs))
 

@@ -142,6 +142,85 @@ def test_record_layouts(spark, tmp_path):
     assert [(r["site"], r["reason"]) for r in rej] == [("h0005", "no movetext")]
 
 
+def lines(site, *more, moves="1. e4 e5 1-0", **tags):
+    """A record without the blank lines; ``more``: lines put first."""
+    text = rec(site, moves=moves, **tags).replace("\n\n", "\n").rstrip("\n")
+    own = [x for x in text.split("\n") if not any(x.split(" ")[0] == m.split(" ")[0] for m in more)]
+    return "\n".join([*more, *own]) + "\n"
+
+
+def spaced(i):
+    """The i-th of a row of games in ever other layouts."""
+    site = f"{i:08d}"
+    text = [lines(site), lines(site) + " \n", rec(site).replace("\n", "\r\n"), lines(site, f'[Site "https://example.org/{site}"]'),
+            lines(site, '[White "zoe"]', '[Black "yan"]'), rec(site), rec(site) + "\n\n",
+            lines(site, f'[Site "https://example.org/{site}"]').replace("\n", "\r\n")]
+    return text[i % len(text)]
+
+
+LAYOUTS = {"no blank line": lines("a1") + lines("a2") + lines("a3"),
+           "a space": " \n".join(lines(f"a{i}") for i in (1, 2, 3)),
+           "crlf": "".join(rec(f"a{i}") for i in (1, 2, 3)).replace("\n", "\r\n"),
+           "crlf, no blank line": "".join(lines(f"a{i}") for i in (1, 2, 3)).replace("\n", "\r\n"),
+           "site first": "".join(lines(f"a{i}", f'[Site "https://example.org/a{i}"]') for i in (1, 2, 3)),
+           "site first, blank lines": "\n\n".join(lines(f"a{i}", f'[Site "https://example.org/a{i}"]') for i in (1, 2, 3)),
+           "no event": rec("a1", drop=("Event",)) + rec("a2", drop=("Event",)) + rec("a3"),
+           "byte order mark": "\ufeff" + rec("a1") + rec("a2") + rec("a3"),
+           "moves over several lines": "".join(rec(f"a{i}", moves="1. e4 e5\n12. d4 d5\n1-0") for i in (1, 2, 3))}
+
+
+@pytest.mark.parametrize("layout", sorted(LAYOUTS))
+def test_games_of_any_layout(spark, tmp_path, layout):
+    root = load_text(spark, tmp_path, LAYOUTS[layout])
+    got = {r["site"]: r for r in load_games(spark, root).collect()}
+    assert sorted(got) == ["a1", "a2", "a3"]
+    event = {r["event"] for r in got.values()}
+    assert event == ({"B", "?"} if layout == "no event" else {"B"})
+
+
+def test_open_tags_join_the_game_below(spark, tmp_path):
+    """They overrule nothing below them, do not leak into the game before, and stay on
+    record where no game follows."""
+    text = (lines("b1", '[WhiteElo "1900"]', '[Site "https://example.org/b1"]').replace(
+                "[WhiteRatingDiff", '[WhiteElo "1650"]\n[WhiteRatingDiff')
+            + lines("b2", '[Site "https://example.org/b2"]', moves="0-1") + lines("b3", '[WhiteTitle "IM"]')
+            + '[Site "https://example.org/b4"]\n[WhiteElo "1500"]\n')
+    root = load_text(spark, tmp_path, text)
+    got = {r["site"]: (r["whiteelo"], r["whitetitle"]) for r in load_games(spark, root).collect()}
+    assert got == {"b1": (1650, None), "b3": (1500, "IM")}
+    rejects = {r["site"]: r["reason"] for r in spark.read.parquet(f"{root}/rejects").collect()}
+    assert rejects == {"b2": "no movetext", "b4": "no movetext"}
+
+
+@pytest.mark.parametrize("split", [100_000, 450_000, 10_000_000])
+def test_any_layout_across_splits(spark, tmp_path, split):
+    """bz2 blocks end anywhere, between a game's tags too: every game comes once, with all its
+    tags, in batch and as a stream."""
+    import random
+
+    from elotrail.sources.pgn import join_open
+    from elotrail.operators.stage import cut
+    from elotrail.streaming.stream import start_upsert
+    rng = random.Random(2)
+    n = 6000
+    moves = lambda: "1. " + " ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(100))
+    text = "".join(spaced(i).replace("1. e4 e5", moves()) for i in range(n))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/big.pgn.bz2").write_bytes(bz2.compress(text.encode(), 1))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        tags = join_open(cut(parse_tags(read_pgn(spark, str(tmp_path / "in")))))
+        assert tags.select("Site").distinct().count() == tags.count() == n
+        assert tags.filter("Event IS NULL OR moves IS NULL OR WhiteElo IS NULL OR White IS NULL").count() == 0
+        assert tags.filter("White = 'zoe'").count() == tags.filter("Black = 'yan'").count() == n // 8
+        if split == 100_000:
+            start_upsert(spark, str(tmp_path / "in"), str(tmp_path / "db"), str(tmp_path / "ck")).awaitTermination()
+            assert load_games(spark, str(tmp_path / "db")).select("site").distinct().count() == n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_an_id_comes_in_once_whatever_its_month(spark, tmp_path):
     root = load_text(spark, tmp_path, rec("m0001", UTCDate="2013.01.31"))
     load_text(spark, tmp_path, rec("m0001", UTCDate="2013.02.01") + rec("m0002"), root, "b.pgn.bz2")
