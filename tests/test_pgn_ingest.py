@@ -246,24 +246,112 @@ def test_timestamps_do_not_follow_the_session_zone(spark, tmp_path):
 def test_a_load_leaves_no_tables_behind(spark, tmp_path):
     from pathlib import Path
     base = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).parent
-    count = lambda: sum(1 for _ in base.rglob("new-games-*"))
+    cuts = ("tags", "new-users", "checked", "batch", "unknown", "new-rows", "rejects", "files")
+    count = lambda: sum(1 for c in cuts for _ in base.rglob(f"{c}-*"))
     before = count()
     root = load_text(spark, tmp_path, rec("s0001") + rec("s0002"))
-    files = sorted(p.name for p in (tmp_path / "tables").rglob("part-*"))
+    written = lambda: sorted(p.name for p in (tmp_path / "tables").rglob("part-*")
+                             if p.parent.name != "loaded_files")
+    files = written()
     load_text(spark, tmp_path, rec("s0001"), root, "b.pgn.bz2")
     assert count() == before
-    # and a load without news writes no file
-    assert sorted(p.name for p in (tmp_path / "tables").rglob("part-*")) == files
+    # and a load without news writes no file, but for the ledger's
+    assert written() == files
+    assert sum(1 for _ in (tmp_path / "tables/loaded_files").glob("part-*")) == 3
 
 
-def test_files_a_month_are_bounded(spark, tmp_path):
-    from elotrail.plans.ingest import FILES_A_MONTH
-    text = "".join(rec(f"f{i:05d}") for i in range(300))
-    for k in range(6):
-        (tmp_path / f"d{k}.pgn").write_text("".join(rec(f"f{k}{i:04d}") for i in range(50)))
+def stored_files(root, month="2013-01"):
+    from pathlib import Path
+    return len(list(Path(root, f"games/event_month={month}").glob("*.parquet")))
+
+
+def test_a_month_has_the_files_its_bytes_fill(spark, tmp_path):
+    """A large month is written by several tasks; small ones give one file each, but for those
+    whose hash falls into the large one's of the four shuffle partitions."""
+    import random
+    rng = random.Random(3)
+    small_tasks = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+                   "spark.sql.adaptive.coalescePartitions.enabled": "false",  # several tasks write the cuts
+                   "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "64k"}
+    old = {k: spark.conf.get(k) for k in small_tasks}
+    big = "".join(rec(f"f{i:07d}") for i in rng.sample(range(10**7), 12000))
+    small = "".join(rec(f"s{i:03d}", UTCDate=f"2013.{2 + i % 6:02d}.01") for i in range(60))
+    for k, v in small_tasks.items():
+        spark.conf.set(k, v)
+    try:
+        root = load_text(spark, tmp_path, big + small)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert stored_files(root) > 1
+    assert [stored_files(root, f"2013-{m:02d}") for m in range(2, 8)].count(1) >= 3
+    other = load_text(spark, tmp_path, big + small, str(tmp_path / "other"))
+    assert stored_files(other) == 1
+
+
+def test_compaction(spark, tmp_path, monkeypatch):
+    from elotrail.plans import ingest as I
+    root = None
+    for k in range(5):
+        text = "".join(rec(f"c{k}{i:03d}") for i in range(40)) + (rec("d0001", UTCDate="2013.02.01") if not k else "")
+        root = load_text(spark, tmp_path, text, root, f"{k}.pgn.bz2")
+    want = sorted(map(str, load_games(spark, root).collect()))
+    assert (stored_files(root), stored_files(root, "2013-02")) == (5, 1)
+    assert {r[0]: r["files"] for r in I.file_sizes(spark, root).collect() if r[0]} == {"2013-01": 5, "2013-02": 1}
+    # interrupted before the copy is in place: the next load goes on from it
+    monkeypatch.setattr(I, "finish_compaction", lambda *a: None)
+    assert I.compact(spark, root) == ["2013-01"]
+    monkeypatch.undo()
+    assert stored_files(root) == 5
+    load_text(spark, tmp_path, rec("c0001"), root, "0.pgn.bz2")
+    assert (stored_files(root), stored_files(root, "2013-02")) == (1, 1)
+    assert sorted(map(str, load_games(spark, root).collect())) == want
+    assert I.compact(spark, root) == [] and not (tmp_path / "tables/compaction").exists()
+    # a copy that was not written to its end is left out
+    (tmp_path / "tables/compaction/event_month=2013-01").mkdir(parents=True)
+    I.init_tables(spark, root)
+    assert sorted(map(str, load_games(spark, root).collect())) == want
+
+
+def test_a_reload_reads_its_own_months_only(spark, tmp_path):
+    """The stored files of another month are spoilt: a load without news does not open them."""
+    text = "".join(rec(f"r{i:03d}") for i in range(30))
     root = load_text(spark, tmp_path, text)
-    ingest(spark, [str(tmp_path / f"d{k}.pgn") for k in range(6)], root)
-    assert len(list((tmp_path / "tables/games/event_month=2013-01").glob("*.parquet"))) <= 2 * FILES_A_MONTH
+    load_text(spark, tmp_path, "".join(rec(f"q{i:03d}", UTCDate="2015.05.05") for i in range(30)), root, "b.pgn.bz2")
+    for f in (tmp_path / "tables/games/event_month=2015-05").iterdir():
+        f.write_bytes(b"spoilt")
+    assert ingest(spark, str(tmp_path / "a.pgn.bz2"), root) == {"users_added": 0, "games_added": 0}
+    with pytest.raises(Exception):  # news have to be compared with all ids
+        load_text(spark, tmp_path, rec("n0001"), root, "c.pgn.bz2")
+
+
+def test_ledger(spark, tmp_path, monkeypatch):
+    """Loaded dumps are skipped, one whose load crashed is not."""
+    from elotrail.plans import ingest as I
+    from elotrail.sources.manifest import read_manifest
+    names = [f"db_standard_rated_2013-0{m}.pgn.bz2" for m in (1, 2, 3)]
+    (tmp_path / "list.txt").write_text("".join(f"https://example.org/{n}\n" for n in reversed(names)))
+    for m, n in enumerate(names[:2], 1):
+        (tmp_path / n).write_bytes(bz2.compress(rec(f"l{m}", UTCDate=f"2013.0{m}.02").encode()))
+    (tmp_path / names[2]).write_bytes(bz2.compress(b"\n"))
+    manifest, root = read_manifest(spark, str(tmp_path / "list.txt")), str(tmp_path / "db")
+    run = lambda: I.ingest_pending(spark, manifest, str(tmp_path), root)
+    append = I._append
+
+    def crash(df, path, *partitions):
+        if path.endswith("/games") and df.filter("site = 'l2'").count():
+            raise OSError("no space left")
+        return append(df, path, *partitions)
+
+    monkeypatch.setattr(I, "_append", crash)
+    with pytest.raises(OSError):
+        run()
+    assert [r[0] for r in I.loaded_files(spark, root).collect()] == names[:1]
+    monkeypatch.undo()
+    assert run() == names[1:] and run() == []
+    assert sorted(r["site"] for r in load_games(spark, root).collect()) == ["l1", "l2"]
+    ingest(spark, str(tmp_path / names[0]), root)
+    assert sorted(r[0] for r in spark.read.parquet(f"{root}/loaded_files").collect()) == names
 
 
 @pytest.mark.parametrize("split", [200_000, 700_000, 10_000_000])
