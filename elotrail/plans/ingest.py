@@ -147,9 +147,11 @@ def ingest_pending(spark: SparkSession, manifest: DataFrame, folder: str, root:
 
 def record_files(spark: SparkSession, files: list[str], root: str) -> None:
     """S3: add files to the ledger, those without records too; one named again changes nothing."""
-    known = loaded_files(spark, root)
-    new = spark.createDataFrame([(f,) for f in files], LEDGER_SCHEMA).join(known, "file", "left_anti")
-    _append(new.coalesce(1), Tables(root).ledger)
+    known = loaded_files(spark, root).filter(F.col("file").isin(files)).collect()
+    new = sorted(set(files) - {r[0] for r in known})
+    if new:
+        path = Tables(root).ledger
+        spark.createDataFrame([(f,) for f in new], LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
 def ingest_tags(spark: SparkSession, tags: DataFrame, root: str) -> dict:
@@ -218,17 +220,20 @@ def finish_compaction(spark: SparkSession, root: str) -> None:
 
 def in_order(tags: DataFrame) -> DataFrame:
     """``pos`` as one number that orders all records by (file, block, place): the rank of
-    the record's split, then its place.  The splits are ranked by range slices, and the
-    join has no hint: one row per split, as many as the input has."""
+    the record's split, then its place.  The splits, one row each, are ranked by range slices and
+    written; the join has no hint, the bytes of that table decide."""
     splits = tags.select("file", "block").distinct()
     ranks = cumulative_before(splits, [], ["file", "block"], small_groups=False)
-    return (tags.join(ranks.select("file", "block", F.col("_before").alias("_rank")), ["file", "block"])
+    ranks = cut(ranks.select("file", "block", F.col("_before").alias("_rank")), "split-ranks")
+    return (tags.join(ranks, ["file", "block"])
             .withColumn("pos", F.col("_rank") * SPLIT_ROWS + F.col("pos") % SPLIT_ROWS)
             .drop("_rank").select(*tags.columns))
 
 
 def _load(spark: SparkSession, tags: DataFrame, t: Tables) -> dict:
     tags = cut(tags, "tags")  # lineage cut: the text is decoded once
+    name = F.element_at(F.split("file", "/"), -1)
+    files = [r[0] for r in tags.select(name).distinct().collect()]  # the dumps of a load
     tags = in_order(join_open(tags) if "open" in tags.columns else tags)
     existing_users = load_users(spark, t.root)
     # names the dimension cannot hold are left out *before* numbering, so the
@@ -250,7 +255,5 @@ def _load(spark: SparkSession, tags: DataFrame, t: Tables) -> dict:
     stored = _read_or_none(spark, t.rejects, bad.schema)
     _append(cut(upsert_ignore(bad, stored, "reject_key", ORDER), "rejects"), t.rejects)
     # last: a load that failed before this did not happen for the ledger
-    name = F.element_at(F.split("file", "/"), -1).alias("file")
-    _append(cut(tags.select(name).distinct().join(loaded_files(spark, t.root), "file", "left_anti"),
-                "files").coalesce(1), t.ledger)
+    record_files(spark, files, t.root)
     return {"users_added": users_added, "games_added": games_added}

@@ -3,7 +3,7 @@
 * T4 ``game_stream``: landing directory of dump files -> one row per game
   (same record split and parse as the batch path), ``maxFilesPerTrigger``
   for back-pressure.
-* T5 ``dedup``: the first row of each game id, late files included.
+* T5 ``dedup``: the first row of each game id, late files included, with state that expires.
 * T6 ``start_upsert``: ``foreachBatch`` into the tables with the batch
   ingest (E1 -> E2 -> K3/K4); a replayed micro-batch inserts nothing.
 * T2 ``replay_lines`` / T3 ``assemble``: a line-per-message topic (key =
@@ -47,13 +47,18 @@ def game_stream(spark: SparkSession, landing: str, max_files: int = 1) -> DataFr
 
 
 # --- T5 ---------------------------------------------------------------------
-def dedup(games: DataFrame) -> DataFrame:
-    """T5: the first row of each game id, whatever order the files come in.
-
-    State is keyed by id without a watermark, since a watermark would discard
-    a backfilled month as late: one short key per stored game, spread over the
-    state partitions and held by RocksDB on disk."""
-    return games.dropDuplicates(["site"])
+def dedup(games: DataFrame, keep: str = "35 days") -> DataFrame:
+    """T5: the first row of each game id among those that arrive within ``keep`` of it.
+
+    State expires by the time of arrival, not by the games' own time: each micro-batch carries
+    its start as event time, so no row is ever late, and a backfilled month comes through
+    whole, while the state holds the ids of the last ``keep`` only.  A row that comes back
+    later passes; the load (K3) finds its id stored and leaves it out.  Rows
+    without an id are told apart by their content."""
+    key = F.coalesce("site", F.sha2(F.to_json(F.struct(*games.columns)), 256))
+    arrived = games.withColumns({"_key": key, "_arrived": F.current_timestamp()})
+    return (arrived.withWatermark("_arrived", keep).dropDuplicatesWithinWatermark(["_key"])
+            .drop("_key", "_arrived"))
 
 
 # --- T6 ---------------------------------------------------------------------

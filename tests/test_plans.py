@@ -95,3 +95,11 @@ def test_bands_not_single_task_windows(spark):
     p = plan(REGISTRY["c10_gain_percentile"](spark, SF_SMALL))
     # the ranking reads the range-sliced rows written once (slice id included)
     assert "rank-slices" in p and "_rk_pid" in p
+
+
+def test_load_order_has_no_broadcast_hint(spark):
+    from elotrail.plans.ingest import in_order
+    tags = spark.createDataFrame([("f", 0, 1), ("e", 7, 5 << 33), ("f", 9, 2 << 33)], "file string, block long, pos long")
+    ordered = in_order(tags)
+    assert "strategy=broadcast" not in ordered._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["file"] + str(r["block"]) for r in ordered.orderBy("pos").collect()] == ["e7", "f0", "f9"]
