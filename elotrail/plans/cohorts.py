@@ -76,16 +76,20 @@ def band_stats(net: DataFrame) -> DataFrame:
     """Median, mean, min, max of the final rating and of the net
     change per band (exact medians via range-sliced ranking).
 
-    ``net`` (one row per player) feeds three aggregations; it is written
-    once as a lineage cut instead of being recomputed from the games."""
-    net = cut(net.select("player", "band", "end_rating", "diff"), "net-change")
+    ``net`` (one row per player) feeds two aggregations; it is written
+    once as a lineage cut instead of being recomputed from the games.  Both
+    measures are ranked in one pass, as rows (measure, band, value)."""
+    net = cut(net.select("band", "end_rating", "diff"), "net-change")
     basic = net.groupBy("band").agg(
         F.avg("end_rating").alias("mean_rating"), F.avg("diff").alias("mean_diff"),
         F.min("end_rating").alias("min_rating"), F.min("diff").alias("min_diff"),
         F.max("end_rating").alias("max_rating"), F.max("diff").alias("max_diff"))
-    med_r = exact_quantiles(net, ["band"], "end_rating", {"median_rating": 0.5})
-    med_d = exact_quantiles(net, ["band"], "diff", {"median_diff": 0.5})
-    return basic.join(med_r, "band").join(med_d, "band")
+    values = net.unpivot("band", [F.col("end_rating").cast("double").alias("rating"),
+                                  F.col("diff").cast("double").alias("diff")], "measure", "value")
+    medians = exact_quantiles(values, ["measure", "band"], "value", {"median": 0.5})
+    wide = medians.groupBy("band").agg(*[
+        F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"median_{m}") for m in ("rating", "diff")])
+    return basic.join(wide, "band")
 
 
 def gain_curve(banded_df: DataFrame, net: DataFrame, cutoff: float = -1000) -> DataFrame:

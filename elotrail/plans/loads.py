@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.keys import assign_ids, encode_players
+from ..operators.players import games_per_player
 from ..operators.stage import cut
 from ..operators.upsert import upsert_ignore
 from ..schema import GAMES_COLUMNS
@@ -17,7 +18,7 @@ from ..session import scratch_path
 from ..sources.fixtures import dirty_records, render_records, render_tags, write_dump
 from ..sources.manifest import manifest_from_games, pending_months, read_manifest, select_months
 from ..sources.pgn import TAGS, join_open, parse_tags, read_pgn
-from ..sources.results import read_result, write_result
+from ..sources.results import read_ordered, read_result, write_result
 from .ingest import games_from_tags, with_partition
 from .queries import games_per_bracket
 
@@ -200,6 +201,24 @@ def csv_roundtrip(spark: SparkSession, games: DataFrame) -> DataFrame:
     return read_result(spark, path, BRACKET_SCHEMA)
 
 
+PLAYER_GAMES_SCHEMA = T.StructType([T.StructField("player", T.IntegerType()),
+                                    T.StructField("total_games", T.LongType())])
+
+
+def ordered_export(spark: SparkSession, games: DataFrame) -> DataFrame:
+    """O1: players by games played, then id, exported over several files; read back with each
+    row's place."""
+    totals = games_per_player(games).select(F.col("white").alias("player"), "total_games")
+    path = write_result(totals, scratch_path(spark, "ordered"), [F.desc("total_games"), "player"])
+    return read_ordered(spark, path, PLAYER_GAMES_SCHEMA)
+
+
+def ordered_brackets(spark: SparkSession, games: DataFrame) -> DataFrame:
+    """O3: the rating brackets in their own order, which is not that of their names."""
+    path = write_result(games_per_bracket(games), scratch_path(spark, "brackets"), ["bracket_lower"])
+    return read_ordered(spark, path, BRACKET_SCHEMA)
+
+
 # --- streaming -----------------------------------------------------------------
 def _run(stream: DataFrame) -> DataFrame:
     from ..streaming.stream import run_to_table

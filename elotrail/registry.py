@@ -152,6 +152,8 @@ REGISTRY: dict[str, Query] = {
     "pending_months": lambda spark, d: L.months_pending(spark, games(spark, d)),
     "csv_roundtrip": lambda spark, d: L.csv_roundtrip(spark, games(spark, d)),
     "csv_export": L.csv_export,
+    "ordered_export": lambda spark, d: L.ordered_export(spark, games(spark, d)),
+    "ordered_brackets": lambda spark, d: L.ordered_brackets(spark, games(spark, d)),
     # per-row functions
     **{k: (lambda key: lambda spark, d: L.pgn_code(spark, games(spark, d), user_ids(spark, d),
                                                     key))(k) for k in L.code_functions()},
