@@ -36,16 +36,16 @@ def upsert_ignore(new: DataFrame, existing: DataFrame | None, key: str,
 def upsert_ignore_near(new: DataFrame, existing: DataFrame, key: str, order_cols,
                        partition: str) -> DataFrame:
     """As ``upsert_ignore``, against a table stored by ``partition``, in two steps that are
-    written (``cut``).
+    written (``cut``); ``new`` is a written table too.
 
     A row that comes back mostly comes back under its partition value, so the keys of the
     partitions that the batch touches are looked at first; they are pruned at the scan.
     Only where rows are left do they meet the keys of the other partitions.  A load that
     brings nothing new reads no more as the table grows."""
-    batch = cut(first_per_key(new, key, order_cols), "batch")
-    touched = [r[0] for r in batch.select(partition).distinct().collect()]  # months: a few hundred
+    touched = [r[0] for r in new.select(partition).distinct().collect()]  # months: a few hundred
     here = F.col(partition).isin(touched)
-    left = cut(batch.join(existing.filter(here).select(key), key, "left_anti"), "unknown")
-    if not touched or left.isEmpty():
+    unknown = new.join(existing.filter(here).select(key), key, "left_anti")
+    left = cut(first_per_key(unknown, key, order_cols), "unknown")
+    if left.isEmpty():
         return left
     return cut(left.join(existing.filter(~here).select(key), key, "left_anti"), "new-rows")

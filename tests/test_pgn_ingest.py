@@ -246,7 +246,7 @@ def test_timestamps_do_not_follow_the_session_zone(spark, tmp_path):
 def test_a_load_leaves_no_tables_behind(spark, tmp_path):
     from pathlib import Path
     base = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).parent
-    cuts = ("tags", "new-users", "checked", "batch", "unknown", "new-rows", "rejects", "files")
+    cuts = ("tags", "new-users", "checked", "unknown", "split-ranks", "rank-slices", "new-rows", "rejects", "files")
     count = lambda: sum(1 for c in cuts for _ in base.rglob(f"{c}-*"))
     before = count()
     root = load_text(spark, tmp_path, rec("s0001") + rec("s0002"))
