@@ -9,7 +9,7 @@ from elotrail.plans import cohorts
 from elotrail.plans import queries as Q
 from elotrail.plans.ingest import games_from_tags, load_games, with_partition
 from elotrail.registry import REGISTRY
-from elotrail.sources.pgn import parse_tags, read_pgn
+from elotrail.sources.pgn import TAG_LINE, parse_tags, read_pgn
 from elotrail.sources.tables import games, user_ids
 from tests.conftest import SF_SMALL
 
@@ -86,7 +86,8 @@ def test_tags_are_read_once(spark, tmp_path):
     tags = parse_tags(read_pgn(spark, str(tmp_path / "a.pgn")))
     df, _ = games_from_tags(tags, user_ids(spark, SF_SMALL))
     optimised = df._jdf.queryExecution().optimizedPlan().toString()
-    assert optimised.count("regexp_extract_all(") == 2
+    assert optimised.count(f", {TAG_LINE}, ") == 2
+    assert optimised.count("regexp_extract_all(") == 3  # and the split of rows with several games
 
 
 def test_bands_not_single_task_windows(spark):
