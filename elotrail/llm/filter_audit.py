@@ -12,7 +12,6 @@ the first, its unique failures what it removes as the last.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
