@@ -17,8 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.stage import cut
 from .common import text_of
 
 BITS = 18              # features are hashed to 2**BITS weights
@@ -28,9 +30,12 @@ ROUNDS = 6             # passes of each over its rows
 PIECES = 16            # weights are averaged in so many pieces
 ALPHA, BETA, L1, L2 = 8.0, 1.0, 1e-5, 1e-6
 KEEP_FROM = 0.3
+TRAIN_BYTES = 128 << 20  # and on the bytes of their texts
 TOKENS = re.compile(r"\w+|[^\w\s]+")
+SPACE = re.compile(r"\s")
 CACHE_TOKENS = 150_000
 _CHUNK = 1 << 20       # characters worked on at once
+_BEFORE = 3            # tokens back that an n-gram's shapes look at
 
 _cache: dict[str, int] = {}
 
@@ -56,42 +61,52 @@ def _mix(*parts: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _grams(codes: np.ndarray) -> list[np.ndarray]:
-    """Feature indices of each kind from the codes of consecutive tokens."""
+def _grams(codes: np.ndarray, old: int = 0) -> list[np.ndarray]:
+    """Feature indices of each kind from the codes of consecutive tokens, of the n-grams that
+    end behind the first ``old`` tokens (0, or at least ``_BEFORE`` unless the text has fewer)."""
     word, shape = codes >> np.uint64(8), codes & np.uint64(255)
     again = np.concatenate(([False], word[1:] == word[:-1]))
     shape = np.where(again, np.uint64(6), shape)
-    kind = lambda k, n: np.full(n, k, np.uint64)
     n = len(codes)
-    return [_mix(kind(1, n), word),
-            _mix(kind(2, n - 1), word[:-1], word[1:]) if n > 1 else np.empty(0, np.int64),
-            _mix(kind(3, n - 1), shape[:-1], shape[1:]) if n > 1 else _mix(kind(3, n), shape),
-            _mix(kind(4, n - 2), shape[:-2], shape[1:-1], shape[2:]) if n > 2
-            else np.empty(0, np.int64)]
 
+    def ending(kind: int, *tokens: np.ndarray) -> np.ndarray:
+        """Of as many consecutive tokens as given, the n-grams that end in a new one."""
+        size = len(tokens)
+        first = max(0, old - size + 1)
+        ends = [t[first + k:n - size + 1 + k] for k, t in enumerate(tokens)]
+        return _mix(np.full(len(ends[0]), kind, np.uint64), *ends) if n >= size else np.empty(0, np.int64)
 
-def _codes(text: str) -> Iterator[np.ndarray]:
-    """Token codes of a text in runs that overlap by two tokens, so no n-gram is lost."""
+    return [ending(1, word), ending(2, word, word),
+            ending(3, shape, shape) if n > 1 else ending(3, shape), ending(4, shape, shape, shape)]
+
+
+def _codes(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """Token codes of a text in runs, each after the last tokens of the run before it, and how
+    many those are: n-grams that end in new tokens are all n-grams, once.  Runs end at white
+    space, and the first has two tokens, unless the text has one only."""
     if len(_cache) > CACHE_TOKENS:
         _cache.clear()
     tail: list[str] = []
-    at = 0
+    old = at = 0
     while at < len(text):
-        end = min(len(text), at + _CHUNK)
-        while end < len(text) and not text[end].isspace():
-            end += 1
+        space = SPACE.search(text, min(len(text), at + _CHUNK))
+        end = space.start() if space else len(text)
         tokens = tail + TOKENS.findall(text, at, end)
+        at = end
+        if len(tokens) == old or (len(tokens) < 2 and at < len(text)):
+            tail = tokens
+            continue
         for t in set(tokens).difference(_cache):
             _cache[t] = _token(t)
-        if tokens:
-            yield np.fromiter(map(_cache.__getitem__, tokens), np.uint64, len(tokens))
-        tail, at = tokens[-2:], end
+        yield np.fromiter(map(_cache.__getitem__, tokens), np.uint64, len(tokens)), old
+        tail = tokens[-_BEFORE:]
+        old = len(tail)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Different feature indices of a text, ascending, and their values; each kind adds up
     to 1.  A text without tokens has none."""
-    parts = [_grams(c) for c in _codes(text)]
+    parts = [_grams(*c) for c in _codes(text)]
     if not parts:
         return np.empty(0, np.int64), np.empty(0)
     kinds = [np.concatenate(k) for k in zip(*parts)]
@@ -110,8 +125,8 @@ class Model:
     def score(self, text: str) -> float:
         """Probability of label 1: the logistic of a sparse dot product."""
         total, kinds = self.bias, {}
-        for codes in _codes(text):
-            for k, index in enumerate(_grams(codes)):
+        for run in _codes(text):
+            for k, index in enumerate(_grams(*run)):
                 s, n = kinds.get(k, (0.0, 0))
                 kinds[k] = (s + float(self.weights[index].sum()), n + len(index))
         total += sum(s / n for s, n in kinds.values() if n)
@@ -144,13 +159,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, rounds: int = ROUNDS,
-          shards: int = SHARDS) -> Model:
+          shards: int = SHARDS, bound_bytes: int = TRAIN_BYTES) -> Model:
     """Learn ``quality`` of ``labels`` (doc_id, quality) from the texts of ``docs``.
 
     Held-out ids are left out first.  Of the others the ``bound`` with the smallest digest
     of the id are learned from, so the fit costs the same at any size; several labels of
-    one id count by their majority (a tie as 1), null ones not.  Only the sampled texts are
-    shuffled, to ``shards`` learners; each passes ``rounds`` times over its fixed share in a
+    one id count by their majority (a tie as 1), null ones not.  Of these rows, in the same
+    order, those count whose texts come to ``bound_bytes`` at most together (a text above a
+    sixteenth of that is passed over), so a learner's memory is bounded.  The sampled texts are
+    written once; only they are shuffled, to ``shards`` learners; each passes ``rounds`` times over its fixed share in a
     fixed order, and their weights are averaged, piece by piece.  What reaches the driver
     is the average of 2**BITS numbers."""
     digest = F.md5(F.col("doc_id").cast("string"))
@@ -182,10 +199,17 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, rounds: i
         return pa.table({"piece": t["piece"][:1], "rows": count("rows"), "ones": count("ones"),
                          "weights": pa.array([mean.tobytes()], pa.binary())})
 
-    means = (docs.select("doc_id", text_of().alias("text"))
-             .join(F.broadcast(known), F.col("doc_id") == F.col("of"))  # at most ``bound`` rows
-             # an id that several rows have counts once
-             .groupBy("place").agg(F.min_by(F.struct("label", "text"), F.md5("text")).alias("r"))
+    sample = cut(docs.select("doc_id", text_of().alias("text"))
+                 .join(F.broadcast(known), F.col("doc_id") == F.col("of"))  # at most ``bound`` rows
+                 .filter(F.octet_length("text") <= bound_bytes // 16)
+                 # an id that several rows have counts once
+                 .groupBy("place").agg(F.min_by(F.struct("label", "text"), F.md5("text")).alias("r")),
+                 "quality-sample")
+    # narrow, at most ``bound`` rows
+    sizes = sample.select(F.col("place").alias("p"), F.octet_length("r.text").alias("bytes"))
+    within = (sizes.select("p", F.sum("bytes").over(W.orderBy("p")).alias("total"))
+              .filter(F.col("total") <= bound_bytes))
+    means = (sample.join(F.broadcast(within), F.col("place") == F.col("p"), "left_semi")
              .select(F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("shard"), "place", "r.*")
              .groupBy("shard").applyInArrow(
                  learn, "piece int, shard int, rows int, ones int, weights binary")

@@ -1,12 +1,17 @@
 """Operators 3 and 2: held-out accuracy, and a plain rule scan."""
 
+import hashlib
+import math
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from elotrail.llm import quality
 from elotrail.llm.licenses import SENTENCES, match_rules, recognise, normalise, scan_licenses
 from elotrail.llm.quality import classify, features, ftrl, held_out, train, _weights, Model
 
@@ -53,15 +58,92 @@ def test_ftrl_separates_and_stays_sparse():
     assert w[1] > 1 and w[0] < -1 and not w[2:8].any()
 
 
-def test_long_text_scores_like_its_features(monkeypatch):
-    from elotrail.llm import quality
-    text = "Some words, REPEATED repeated words!! 123 über $$$ " * 40
+def plain_features(text):
+    """Every n-gram of a text by itself, and its share among those of its kind."""
+    tokens = quality.TOKENS.findall(text)
+    codes = [quality._token(t) for t in tokens]
+    shapes = [6 if k and codes[k] >> 8 == codes[k - 1] >> 8 else c & 255 for k, c in enumerate(codes)]
+    kinds = [[(1, c >> 8) for c in codes],
+             [(2, a >> 8, b >> 8) for a, b in zip(codes, codes[1:])],
+             [(3, *g) for g in zip(shapes, shapes[1:])] if len(codes) != 1 else [(3, shapes[0])],
+             [(4, *g) for g in zip(shapes, shapes[1:], shapes[2:])]]
+    out = Counter()
+    for grams in kinds:
+        for g in grams:
+            h = 0
+            for p in g:
+                h = (h ^ p) * 0x9E3779B97F4A7C15 % 2**64
+                h ^= h >> 29
+            out[h >> (64 - quality.BITS)] += 1 / len(grams)
+    return dict(out)
+
+
+TEXTS = ["", " ", "one", "  one ", "a a", "a a a b", "Some words, REPEATED repeated words!! 123 über $$$ " * 40,
+         "x" * 300 + " y y", "no$spaces$at$all" * 20, "\u2003wide\u2003spaces\x1cand separators " * 5,
+         "last " + " " * 500, " " * 500 + "late", "p" + " " * 300 + "q" + " " * 300 + "q"]
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 50, 200, 1 << 20])
+def test_features_at_any_chunk(chunk, monkeypatch):
+    monkeypatch.setattr(quality, "_CHUNK", chunk)
     rng = np.random.default_rng(1)
     model = Model(rng.normal(size=1 << quality.BITS), 0.1)
-    i, v = features(text)
-    want = 1 / (1 + np.exp(-(model.weights[i] @ v + 0.1)))
-    assert model.score(text) == pytest.approx(want)
-    assert model.score("") == pytest.approx(1 / (1 + np.exp(-0.1)))
+    for text in TEXTS:
+        want = plain_features(text)
+        index, value = features(text)
+        assert list(index) == sorted(want)
+        assert value == pytest.approx([want[i] for i in index])
+        total = 0.1 + sum(model.weights[i] * v for i, v in want.items())
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_long_text_without_spaces_takes_no_walk():
+    rng = random.Random(3)
+    text = "".join(rng.choice("ab$%") for _ in range(3 << 20))
+    start = time.monotonic()
+    features(text)
+    assert time.monotonic() - start < 30
+
+
+def plain_ftrl(rows, rounds):
+    """FTRL-proximal updates one coordinate at a time, over (features, label)."""
+    z, n = Counter(), Counter()
+    weight = lambda i: 0.0 if abs(z[i]) <= quality.L1 else (
+        math.copysign(quality.L1, z[i]) - z[i]) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+    for _ in range(rounds):
+        for x, y in rows:
+            x = {**x, "bias": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-30, min(30, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_equals_a_plain_learner(spark):
+    """The whole operator on the smallest table: learners, their average and all scores."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    rows = [(hashlib.md5(str(i).encode()).hexdigest(), i, int(y)) for i, y in
+            labels.select("doc_id", "quality").collect() if y is not None and i in text
+            and zlib.crc32(str(i).encode()) % 5]
+    of = spark.createDataFrame([(p,) for p, _, _ in rows], "place string").select(
+        "place", F.pmod(F.xxhash64("place"), F.lit(quality.SHARDS)).alias("shard"))
+    shard = {r["place"]: r["shard"] for r in of.collect()}
+    learned = [plain_ftrl([(plain_features(text[i]), y) for p, i, y in sorted(rows) if shard[p] == s],
+                          quality.ROUNDS) for s in sorted(set(shard.values()))]
+    mean = Counter()
+    for w in learned:
+        for i, v in w.items():
+            mean[i] += v / len(learned)
+    assert rows and mean
+    for r in classify(docs, labels).collect():
+        total = mean["bias"] + sum(mean[i] * v for i, v in plain_features(text[r["doc_id"]]).items())
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6)
 
 
 def test_bound_on_training_rows(spark):
@@ -69,6 +151,9 @@ def test_bound_on_training_rows(spark):
                                  "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     assert train(docs, labels, bound=50).weights.any()
+    # in bytes: texts of 6 to 7 bytes, of which a text may have a sixteenth
+    assert train(docs, labels, bound_bytes=300).weights.any()
+    assert not train(docs, labels, bound_bytes=90).weights.any()
 
 
 # -- licence scans ------------------------------------------------------------------
