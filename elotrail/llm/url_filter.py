@@ -23,14 +23,18 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.when(has, lower_ascii(host)).otherwise(""), F.when(has, path).otherwise("")
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Host suffixes at label starts times path prefixes of the rules' lengths, an array."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(
-        F.slice(labels, i, F.size(labels)), "."))
-    heads = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda n: F.concat(
-        s, F.lit("\n"), F.substring(path, 1, n)))))
+def label_count(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """Host suffixes at label starts with path prefixes, of the (labels, path length) that
+    rules have, an array."""
+    fitting = F.filter(F.array(*[F.struct(F.lit(k).alias("labels"), F.lit(n).alias("chars")) for k, n in shapes]),
+                       lambda s: (s["labels"] <= label_count(host)) & (s["chars"] <= F.length(path)))
+    return F.transform(fitting, lambda s: F.concat(
+        F.call_function("substring_index", host, F.lit("."), -s["labels"]), F.lit("\n"),
+        F.substring(path, F.lit(1), s["chars"])))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow",
@@ -45,18 +49,21 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow",
     over ``SALTS`` keys (Spark sends the rules to all tasks by itself where their
     measured size allows it); full digests are compared after that.  Null urls
     and such without ``://`` have empty parts; repeated rows stay; empty tables work.
-    The distinct path lengths of the rules (a few dozen at most) go to the driver."""
+    Only suffixes and prefixes of lengths that rules have are built, so a url costs as much
+    as it is long, whatever its number of labels; the different (labels, path length) of the rules
+    (some hundreds at most) go to the driver.  Other columns of ``pages`` are not looked at."""
     rules = (rules.select(lower_ascii(F.col("host")).alias("r_host"), F.col("path").alias("r_path"),
                           "verdict")
              .groupBy("r_host", "r_path").agg(F.max("verdict").alias("r_verdict"))  # block wins
              .withColumn("r_digest", F.sha2(F.concat("r_host", F.lit("\n"), "r_path"), 256)))
-    lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().collect())
+    shapes = sorted(tuple(r) for r in rules.select(
+        label_count(F.col("r_host")), F.length("r_path")).distinct().collect())
     host, path = url_parts(F.col(url))
     p = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    if not lengths:
+    if not shapes:
         return p.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     e = (p.filter(F.col("host") != "").select("host", "path").distinct()
-         .select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), lengths))
+         .select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), shapes))
                  .alias("expr"))
          .withColumn("digest", F.sha2("expr", 256))
          .withColumn("prefix", F.substring("digest", 1, PREFIX))

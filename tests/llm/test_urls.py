@@ -1,5 +1,7 @@
 """Operator 4 against a plain scan of the rules."""
 
+import time
+
 from elotrail.llm.queries import URL_RULES
 from elotrail.llm.url_filter import judge_urls
 
@@ -37,3 +39,24 @@ def test_equal_rules_block(spark):
                                   "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
     assert judge_urls(pages, rules).first()["verdict"] == "block"
+
+
+def test_very_long_urls(spark):
+    hosts = {1: "a." * 500_000 + "example.org", 2: "a." * 30_000 + "com", 3: "b" * 10**6}
+    urls = {i: f"http://{h}/es/" + "p/" * (500_000 if i == 2 else 1) for i, h in hosts.items()}
+    pages = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    start = time.monotonic()
+    out = {r["page_id"]: tuple(r)[1:] for r in judge_urls(pages, rules).collect()}
+    assert out == {i: plain(u) for i, u in urls.items()}
+    assert time.monotonic() - start < 60
+
+
+def test_rules_of_any_number_of_labels(spark):
+    hosts = ["net", "b.net", "a.b.net", "x.a.b.net"]
+    rules = spark.createDataFrame([(h, "/p" * k, "block") for k, h in enumerate(hosts)],
+                                  "host string, path string, verdict string")
+    pages = spark.createDataFrame([(k, f"http://{h}/p/p/p") for k, h in enumerate(hosts)],
+                                  "page_id long, url string")
+    out = {r["page_id"]: r["rule"] for r in judge_urls(pages, rules).collect()}
+    assert out == {0: "net", 1: "b.net/p", 2: "a.b.net/p/p", 3: "x.a.b.net/p/p/p"}
