@@ -89,13 +89,25 @@ class Automaton:
 
 
 def spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Character spans (end exclusive) in the original text of runs of words."""
+    """Character spans (end exclusive) in the original text of runs of words, which come in
+    order and apart; one pass over the text."""
     if not runs:
         return []
     raw = text.encode("utf-8", "surrogatepass")
-    at = [m.span() for m in _WORD.finditer(raw.translate(WORDS))]
-    chars = lambda n: len(raw[:n].decode("utf-8", "surrogatepass"))
-    return [(chars(at[a][0]), chars(at[b][1])) for a, b in runs]
+    out, left = [], iter(runs)
+    a, b = next(left)
+    chars = at = start = 0  # characters before byte ``at``
+    for n, m in enumerate(_WORD.finditer(raw.translate(WORDS))):
+        if n == a:
+            chars, at = chars + len(raw[at:m.start()].decode("utf-8", "surrogatepass")), m.start()
+            start = chars
+        if n == b:
+            chars, at = chars + len(raw[at:m.end()].decode("utf-8", "surrogatepass")), m.end()
+            out.append((start, chars))
+            a, b = next(left, (-1, -1))
+            if b < 0:
+                break
+    return out
 
 
 _last: tuple[str, Automaton] | None = None  # of this worker

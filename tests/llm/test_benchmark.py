@@ -1,6 +1,7 @@
 """Operator 10 against a plain search."""
 
 import random
+import time
 
 from elotrail.llm.decontaminate import Automaton, find_benchmark, spans, words_of
 
@@ -64,6 +65,16 @@ def test_spans_lie_in_the_original():
     assert words_of(text[a:b]) == words_of(item) and h.n_words == 15 and h.items == ["q"]
 
 
+def test_spans_of_very_many_runs():
+    text = "é hit, x ÿ HIT\ud800 y " * 400_000  # 10 MB
+    n = len(words_of(text[:len(text) // 400_000]))
+    runs = [(k * n + 1, k * n + 1) for k in range(400_000)]
+    start = time.monotonic()
+    found = spans(text, runs)
+    assert time.monotonic() - start < 20 and len(found) == len(runs)
+    assert all(text[a:b] == "hit" for a, b in found)
+
+
 def test_many_words_need_more_digits():
     item = " ".join(f"w{k}" for k in range(5000))
     auto = Automaton([("q", item)])
