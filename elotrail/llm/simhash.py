@@ -143,15 +143,29 @@ def _flipped(part: int, value: Column, flips: list[int]) -> Column:
         F.lit(part).alias("part"), value.bitwiseXOR(f).alias("value")))
 
 
+def one_bit_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs a < b of fingerprints (column ``fp``, distinct) that differ in one bit, by equality."""
+    flips = F.array(*[F.lit(_signed(1 << b)) for b in range(BITS)])
+    more = F.filter(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f)), lambda v: v > F.col("fp"))
+    return (prints.select(F.col("fp").alias("a"), F.explode(more).alias("b"))
+            .join(prints.select(F.col("fp").alias("b")), "b").select("a", "b"))
+
+
 def near_pairs(prints: DataFrame, radius: int = RADIUS, sample: int = SAMPLE,
-               crowded: int = CROWDED) -> DataFrame:
+               crowded: int = CROWDED, *, thin: bool = False) -> DataFrame:
     """Pairs a < b of different fingerprints (column ``fp``, distinct) at most ``radius`` bits apart,
     each once.
 
     Pairs are verified inside the join, which gives out links only.  A bucket with more than
     ``crowded`` fingerprints (near copies in thousands, or a common value) is divided: its members
     also have to agree on one of radius + 1 slices of the bits, which all linked ones
-    do, so no task has to compare all of them with each other."""
+    do, so no task has to compare all of them with each other.
+
+    With ``thin`` only pairs that give the same components come out.  The members of crowded buckets are
+    linked in two rounds: neighbours at one bit first, each of which gets one pair with the
+    smallest fingerprint it reaches; then pairs of such fingerprints (or of those in no crowd)
+    between which any two are near, once, put together before they are shuffled.  So a dense group of m
+    gives some m pairs, not m * m / 2."""
     picked = prints.orderBy(F.xxhash64("fp")).limit(sample).collect()  # bounded by the parameter
     n = prints.count()
     parts = plan_parts(np.array([r["fp"] for r in picked], np.int64).view(np.uint64), max(n, 2), radius)
@@ -173,16 +187,30 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, sample: int = SAMPLE,
     full = (base.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
             .filter(F.col("n") > crowded).select("part", "value", F.lit(True).alias("crowd")))
 
+    group = {"a": F.col("a"), "b": F.col("b")}  # what stands for a fingerprint
+    if thin:
+        dense = base.join(full, ["part", "value"], "left_semi").select(F.col("a").alias("fp")).distinct()
+        near = cut(link_components(one_bit_pairs(cut(dense, "dense"))).filter("fp <> root"), "dense-roots")
+        group = {c: F.col(f"{c}_root") for c in group}
+
+    def grouped(df: DataFrame, name: str) -> DataFrame:
+        if not thin:
+            return df
+        r = near.select(F.col("fp").alias(name), F.col("root").alias("root"))
+        return df.join(r, name, "left").select(
+            name, "part", "value", F.coalesce("root", name).alias(f"{name}_root"))
+
     def divide(df: DataFrame, name: str) -> DataFrame:
         each = F.array(*[F.struct(F.lit(j).alias("slice"), F.col(name).bitwiseAND(F.lit(m)).alias("own"))
                          for j, m in enumerate(slices)])
         whole = F.array(F.struct(F.lit(-1).alias("slice"), F.lit(0).cast("long").alias("own")))
-        return df.join(full, ["part", "value"], "left").select(
-            name, "part", "value", F.explode(F.when(F.col("crowd"), each).otherwise(whole)).alias("d")
-        ).select(name, "part", "value", "d.slice", "d.own")
+        names = [name, *([f"{name}_root"] if thin else []), "part", "value"]
+        return grouped(df, name).join(full, ["part", "value"], "left").select(
+            *names, F.explode(F.when(F.col("crowd"), each).otherwise(whole)).alias("d")
+        ).select(*names, "d.slice", "d.own")
 
     # a pair is given out for the first part, and there the first slice, in which it meets
-    on = (F.col("a") < F.col("b")) & (F.bit_count(x) <= radius)
+    on = (F.col("a") < F.col("b")) & (group["a"] != group["b"]) & (F.bit_count(x) <= radius)
     for c in ("part", "value", "slice", "own"):
         on = on & (F.col(f"l.{c}") == F.col(f"r.{c}"))
     for i, (mask, t) in enumerate(parts[:-1]):
@@ -190,7 +218,11 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, sample: int = SAMPLE,
         on = on & ((F.col("l.part") <= i) | apart)
     for j, m in enumerate(slices[:-1]):
         on = on & ((F.col("l.slice") <= j) | (x.bitwiseAND(F.lit(m)) != 0))
-    return divide(base, "a").alias("l").join(divide(probe, "b").alias("r"), on).select("a", "b")
+    met = divide(base, "a").alias("l").join(divide(probe, "b").alias("r"), on)
+    if not thin:
+        return met.select("a", "b")
+    between = met.select(F.least(*group.values()).alias("a"), F.greatest(*group.values()).alias("b")).distinct()
+    return near.select(F.col("root").alias("a"), F.col("fp").alias("b")).union(between)
 
 
 def link_components(pairs: DataFrame) -> DataFrame:
@@ -222,7 +254,7 @@ def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fp and component of each row (fp, id) of ``prints``, where the component is the
     smallest id that is reachable over links (nulls do not count).  One row per fp."""
     u = cut(prints.groupBy("fp").agg(F.min("id").alias("least")), "prints")
-    roots = link_components(near_pairs(u.select("fp"), radius))
+    roots = link_components(near_pairs(u.select("fp"), radius, thin=True))
     linked = u.join(roots, "fp").select("fp", "root", "least")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component")), "root")
     return u.join(named.select("fp", "component"), "fp", "left").select(
@@ -253,7 +285,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
                         simhash(text_of(text), shingle).alias("fp")), "simhash")
     u = cut(d.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h"))
                                 .alias("id")), "prints")
-    roots = link_components(near_pairs(u.select("fp"), radius))
+    roots = link_components(near_pairs(u.select("fp"), radius, thin=True))
     kept = (u.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
             .agg(F.min("id").alias("id")).select(F.col("id.id").alias("__id"), F.col("id.h").alias("__h")))
     out = docs.withColumn("__of", h)

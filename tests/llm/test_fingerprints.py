@@ -222,6 +222,31 @@ def test_pairs_come_once(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_dense_group_gives_links_in_proportion(spark):
+    rng = random.Random(13)
+    bits = rng.sample(range(64), 16)
+    centre = rng.getrandbits(64)
+    fps = [centre ^ sum(1 << b for k, b in enumerate(bits) if v >> k & 1) for v in rng.sample(range(2**16), 20_000)]
+    df = spark.createDataFrame([(i, v - (v >> 63 << 64)) for i, v in enumerate(fps)], "id long, fp long")
+    links = simhash.near_pairs(df.select("fp"), thin=True).collect()
+    assert len(links) < 2 * len(fps)
+    assert all(r["a"] < r["b"] for r in links)
+    assert {r["component"] for r in simhash.components(df).collect()} == {0}
+
+
+def test_two_near_crowds_link_and_far_ones_do_not(spark):
+    rng = random.Random(17)
+    bits = rng.sample(range(64), 40)
+    cube = lambda c: [c ^ sum(1 << b for k, b in enumerate(bits[:9]) if v >> k & 1) for v in range(2**9)]
+    away = lambda c, n: c ^ sum(1 << b for b in bits[20:20 + n])
+    centre = rng.getrandbits(64)
+    crowds = [cube(centre), cube(away(centre, 4)), cube(away(centre, 9))]
+    rows = [(k * 1000 + i, v - (v >> 63 << 64)) for k, c in enumerate(crowds) for i, v in enumerate(c)]
+    df = spark.createDataFrame(rows, "id long, fp long")
+    comp = {r["fp"]: r["component"] for r in simhash.components(df).collect()}
+    assert {i // 1000: comp[v] for i, v in rows} == {0: 0, 1: 0, 2: 2000} and set(comp.values()) == {0, 2000}
+
+
 @pytest.mark.parametrize("n", [2, 10**4, 10**7, 10**10])
 def test_plan_keeps_the_pigeonhole(n):
     rng = np.random.default_rng(1)
