@@ -71,6 +71,57 @@ RULES = [
     ("MPL-2.0", ["mpl-2"]),
     ("all-rights-reserved", ["reserved"]),
 ]
+# Identifiers that an SPDX line may name, and pairs of them that it offers.
+SPDX = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0",
+        "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+        "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later",
+        "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "Unlicense", "Zlib"]
+SPDX_OR = ["MIT", "Apache-2.0", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later"]
+# GNU licences whose notice names a version, by identifier.
+GNU = {"GPL": ("General", ["2", "3"]), "LGPL": ("Lesser General", ["2.1", "3"]), "AGPL": ("Affero General", ["3"])}
+# How a line says that a work has a licence, and what it calls it.
+LEADS = ["Licensed under the", "Released under the", "Distributed under the",
+         "This project is licensed under the", "This software is released under the"]
+NAMES = {"MIT": "MIT License", "ISC": "ISC License", "Apache-2.0": "Apache License 2.0",
+         "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License",
+         "GPL-2.0": "GNU General Public License v2.0", "GPL-3.0": "GNU General Public License v3.0"}
+
+
+def _more() -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """Sentences and rules that follow from the lists above, besides the ones written out."""
+    sentences, rules = {}, []
+
+    def known(name: str, sentence: str) -> str:
+        """Id of a sentence, the one that it has already if it is known."""
+        form = normalise(sentence)
+        for i, old in (SENTENCES | sentences).items():
+            if normalise(old) == form:
+                return i
+        sentences[name] = sentence
+        return name
+
+    for short, (family, versions) in GNU.items():
+        terms = (f"you can redistribute it and/or modify it under the terms of the GNU {family} "
+                 "Public License as published by the Free Software Foundation")
+        for v in versions:
+            later = f"either version {v} of the License, or (at your option) any later version"
+            licence = f"{short}-{v if '.' in v else v + '.0'}-or-later"
+            rules.append((licence, [known(f"{short.lower()}-terms", terms), known(f"gnu-{v}-later", later)]))
+            rules.append((licence, [known(f"{short.lower()}-{v}-later", f"{terms}, {later}")]))
+    offers = [f"{a} OR {b}" for a in SPDX_OR for b in SPDX_OR if a != b]
+    for x in [*SPDX, *offers]:
+        name = "spdx-" + normalise(x).replace(" ", "-")
+        rules.append((x, ["spdx", known(name, x)]))
+    rules.append(("ISC", [known("isc-grant", (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+        "without fee is hereby granted, provided that the above copyright notice and this permission "
+        "notice appear in all copies"))]))
+    for licence, called in NAMES.items():
+        for k, lead in enumerate(LEADS):
+            rules.append((licence, [known(f"{normalise(licence).replace(' ', '-')}-lead-{k}", f"{lead} {called}")]))
+    return sentences, [r for r in rules if r not in RULES]
+
+
 END = re.compile(r"[.!?;:]+[ \t\n\r\f\v]+")
 _OTHER = re.compile(r"[^a-z0-9]+")
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -80,6 +131,11 @@ def normalise(sentence: str) -> str:
     return _OTHER.sub(" ", sentence.translate(_FOLD)).strip(" ")
 
 
+_sentences, _rules = _more()
+SENTENCES |= _sentences
+RULES += _rules
+
+
 def _pieces(text: str, end: re.Pattern, at: int = 0) -> Iterator[tuple[int, str]]:
     """(place, piece) of a text between matches of ``end``."""
     start = 0

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from elotrail.llm import quality
-from elotrail.llm.licenses import SENTENCES, match_rules, recognise, normalise, scan_licenses
+from elotrail.llm.licenses import RULES, SENTENCES, match_rules, recognise, normalise, scan_licenses
 from elotrail.llm.quality import classify, features, ftrl, held_out, train, _weights, Model
 
 SF = "/root/testdata/sf0.01"
@@ -238,3 +238,39 @@ def test_standard_texts_below_heading_and_copyright_line(spark):
     known = {normalise("a b c"): "abc", normalise("a b"): "ab", normalise("c d"): "cd"}
     ids = lambda t: [f[0] for f in recognise(t, known)]
     assert ids("x\na\nb\nc\nd") == ["", "abc", ""] and ids("x\na\nb\ny\nc\n\nd") == ["", "ab", "", "cd"]
+
+
+def test_notices_of_the_gnu_licences_spdx_lines_and_leads(spark):
+    notice = ("{0} is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {1}\n"
+              "Public License as published by the Free Software Foundation{2} either\nversion {3} of the "
+              "License, or (at your option) any later version.\n\nMore.")
+    texts = {
+        1: (notice.format("This program", "General", ";", "2"), "GPL-2.0-or-later"),
+        2: (notice.format("This library", "Lesser General", ";", "2.1"), "LGPL-2.1-or-later"),
+        3: (notice.format("This program", "Affero General", ",", "3"), "AGPL-3.0-or-later"),
+        4: (notice.format("This program", "General", ",", "3"), "GPL-3.0-or-later"),
+        5: ("# SPDX-License-Identifier: BSD-3-Clause\nimport x", "BSD-3-Clause"),
+        6: ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"),
+        7: ("SPDX-License-Identifier: MIT OR Apache-2.0\n", "MIT OR Apache-2.0"),
+        8: ("X.\nLicensed under the MIT License.", "MIT"),
+        9: ("This project is licensed under the Apache License 2.0.", "Apache-2.0"),
+        10: ("ISC License\n\nCopyright (c) 2020 J\n\nPermission to use, copy, modify, and/or distribute this "
+             "software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright "
+             "notice and this permission notice appear in all copies.", "ISC")}
+    plain = {20: ("GPL-2.0-only", None), 21: ("either version 2 of the License", None), 22: ("ISC\nMIT", None)}
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in (texts | plain).items()], "doc_id long, text string")
+    out = {r["doc_id"]: r["licenses"] for r in scan_licenses(docs).collect()}
+    assert out == {k: [x] if x else [] for k, (_, x) in (texts | plain).items()}
+
+
+def test_sentences_are_known_by_one_id():
+    forms = [normalise(s) for s in SENTENCES.values()]
+    assert len(set(forms)) == len(forms) and all(set(seq) <= set(SENTENCES) for _, seq in RULES)
+
+
+def test_very_long_text_of_unknown_lines():
+    known = {normalise(s): i for i, s in SENTENCES.items()}
+    text = "you can\n" * 300_000 + "All rights reserved."
+    start = time.monotonic()
+    assert [f[0] for f in recognise(text, known) if f[0]] == ["reserved"]
+    assert time.monotonic() - start < 30
