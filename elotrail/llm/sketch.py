@@ -87,18 +87,18 @@ def as_string(s: Column) -> Column:
 
 def next_documents(docs: DataFrame) -> DataFrame:
     """For rows (doc_id, h, n_chars), one per different (doc_id, h), the document before each
-    in order of (doc_id, h), null ids first; before the first comes the last.
+    in order of (doc_id, h), null ids first; before the first comes the last.  Both are
+    given as structs (doc_id, h), which are equal where both ids are null.
 
     Only these narrow rows are put in order (see ``slots``: no single task has them all)."""
     d = slots(docs.distinct().withColumn("__all", F.lit(0)), "__all", ["doc_id", "h"], "pos")
     n = d.agg(F.count(F.lit(1)).alias("n"))
-    after = d.select((F.col("pos") + 1).alias("p"), F.col("doc_id").alias("prev_id"),
-                     F.col("h").alias("prev_h"), F.col("n_chars").alias("prev_chars"))
+    key = F.struct("doc_id", "h")
+    after = d.select((F.col("pos") + 1).alias("p"), key.alias("prev"), F.col("n_chars").alias("prev_chars"))
     last = n.first()["n"]
     after = after.withColumn("p", F.when(F.col("p") == last, F.lit(0)).otherwise(F.col("p")).cast("long"))
     return (d.join(after, F.col("pos") == F.col("p"))
-            .select(F.col("doc_id").alias("of_id"), F.col("h").alias("of_h"),
-                    "prev_id", "prev_h", "prev_chars"))
+            .select(key.alias("of"), "prev", "prev_chars"))
 
 
 def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,16 +115,19 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_.alias("text"),
                     F.xxhash64(text_).alias("h"))
     order = next_documents(d.select("doc_id", "h", F.length("text").cast("long").alias("n_chars")))
-    heads = d.join(order, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h")))
-    heads = (add_sketch(heads, "text", "own").select("prev_id", "prev_h", F.struct(
+    # one key without nulls: joins and the group share a partitioning, so the texts and
+    # what follows them are shuffled once each
+    d = d.select("text", F.struct("doc_id", "h").alias("key"))
+    heads = d.join(order, F.col("key") == F.col("of"))
+    heads = (add_sketch(heads, "text", "own").select("prev", F.struct(
         F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"),
         F.col("own").alias("next")).alias("follows"))
-        .groupBy("prev_id", "prev_h").agg(F.first("follows").alias("follows")))
+        .groupBy("prev").agg(F.first("follows").alias("follows")))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    e = (d.join(heads, F.col("doc_id").eqNullSafe(F.col("prev_id")) & (F.col("h") == F.col("prev_h")))
+    e = (d.join(heads, F.col("key") == F.col("prev"))
          .withColumn("edited", F.concat(F.substring("text", F.lit(1), n - quarter), "follows.head"))
-         .select("doc_id", n.cast("long").alias("n_chars"), "text", "edited", "follows.next"))
+         .select("key.doc_id", n.cast("long").alias("n_chars"), "text", "edited", "follows.next"))
     e = add_sketch(add_sketch(e, "text", "own"), "edited", "other")
     own, other = F.col("own"), F.col("other")
     return e.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
