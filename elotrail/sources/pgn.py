@@ -65,7 +65,8 @@ def split_records(text: DataFrame) -> DataFrame:
         F.col("raw").startswith("[") | F.col("raw").contains("\n["))
 
 
-TAG_LINE = r'(?m)^\[(\w+) "([^\n]*?)"\]'
+# the value ends at the first "] of its line; nothing in it is tried twice
+TAG_LINE = r'(?m)^\[(\w++) "([^"\n]*+(?:"(?!\])[^"\n]*+)*+)"\]'
 
 
 def header(raw: Column) -> Column:
@@ -125,8 +126,11 @@ def join_open(tags: DataFrame) -> DataFrame:
 
 
 def encode_games(tags: DataFrame) -> DataFrame:
-    """Typed codes; players stay user names until E2."""
-    return tags.select(
+    """Typed codes; players stay user names until E2.
+
+    The explode of a one-element array parts the look-up of the tags from the checks and joins
+    above it: as one projection they were a generated method too long for the JVM to compile."""
+    typed = F.struct(
         "file", "block", "pos",
         event_code(F.coalesce(F.col("Event"), F.lit(""))).alias("event"),
         site_id(F.col("Site")).alias("site"),
@@ -147,3 +151,4 @@ def encode_games(tags: DataFrame) -> DataFrame:
         analyzed_flag(F.col("moves")).alias("analyzed"),
         game_timestamp(F.col("UTCDate"), F.col("UTCTime")).alias("date_time"),
         F.col("moves"))
+    return tags.select(F.explode(F.array(typed)).alias("_typed")).select("_typed.*")
