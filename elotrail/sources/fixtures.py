@@ -6,7 +6,7 @@ scratch folder under the shared checkpoint directory.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -17,6 +17,7 @@ EVENT_NAMES = {"B": "Rated Blitz game", "b": "Rated Bullet game", "c": "Rated Cl
 RESULT_TEXT = {"W": "1-0", "B": "0-1", "D": "1/2-1/2", "?": "*"}
 TERMINATION_TEXT = {"N": "Normal", "F": "Time forfeit", "A": "Abandoned", "?": "Rules infraction"}
 SITE_PREFIX = "https://example.org/"
+FILES_PER_CORE = 2  # files of a dump written at once by one core, one after the other
 
 
 def _map(c: Column, table: dict[str, str]) -> Column:
@@ -31,19 +32,30 @@ def _line(name: str, value: Column) -> Column:
 
 
 def _signed(c: Column) -> Column:
-    return F.format_string("%+d", c)
+    """The number with its sign, as ``%+d`` gives it (``null`` without one), but no formatter per row."""
+    text = c.cast("string")
+    return F.coalesce(F.when(c >= 0, F.concat(F.lit("+"), text)).otherwise(text), F.lit("null"))
+
+
+def with_names(games: DataFrame, users: DataFrame) -> DataFrame:
+    """Games with the names of both players."""
+    uw = users.select(F.col("id").alias("white"), F.col("username").alias("_wname"))
+    ub = users.select(F.col("id").alias("black"), F.col("username").alias("_bname"))
+    return games.join(uw, "white").join(ub, "black")
 
 
 def render_tags(games: DataFrame, users: DataFrame) -> DataFrame:
     """Raw tag strings per game (names from the dimension, time control as
     ``base+inc`` with the fixture's rule: inc = id mod 5, base = rest)."""
-    uw = users.select(F.col("id").alias("white"), F.col("username").alias("_wname"))
-    ub = users.select(F.col("id").alias("black"), F.col("username").alias("_bname"))
+    return tags_of(with_names(games, users))
+
+
+def tags_of(named: DataFrame) -> DataFrame:
+    """``render_tags`` of games that have their players' names."""
     k = F.col("site").cast("long")
     inc = k % 5
     when = F.col("date_time").cast("string")
-    g = games.join(uw, "white").join(ub, "black")
-    return g.select(
+    return named.select(
         F.col("site").alias("_key"),
         F.col("date_time").alias("_ts"),
         _map(F.col("event"), EVENT_NAMES).alias("Event"),
@@ -112,6 +124,9 @@ def dirty_records(tags: DataFrame) -> DataFrame:
                                  F.substring_index(v, "\n\n", -1)))
          .when(k == 11, F.concat(F.substring_index(v, "\n\n", 1), F.lit("\n\n0-1\n")))
          .otherwise(v))
+    # the explode of a one-element array parts text and layout, as one generated method is too long to compile
+    r = r.withColumn("value", F.explode(F.array(v)))
+    v = F.col("value")
     layout = F.floor(F.col("_key").cast("long") / 13) % 5
     first = F.substring_index(v, "\n", 2)
     swapped = F.concat(F.substring_index(first, "\n", -1), F.lit("\n"), F.substring_index(first, "\n", 1),
@@ -126,8 +141,30 @@ def write_dump(records: DataFrame, path: str | None = None, files: int | None =
     """Write records as ``files`` compressed text files ordered by game id
     (or by time with ``order="_ts"``, as real monthly dumps are)."""
     spark = records.sparkSession
-    out = path or scratch_path(spark, "pgn")
-    files = files or spark.sparkContext.defaultParallelism
-    (records.repartitionByRange(files, order, "_key").sortWithinPartitions(order, "_key")
-     .select("value").write.mode(mode).option("compression", compression).text(out))
-    return out
+    return _write(_deal(records, files or spark.sparkContext.defaultParallelism, order, "_key"),
+                  path or scratch_path(spark, "pgn"), compression, mode)
+
+
+def dump_games(games: DataFrame, users: DataFrame, records=render_records, path: str | None = None,
+               files: int | None = None, order: str = "site", mode: str = "overwrite") -> str:
+    """``write_dump`` of ``records(render_tags(games, users))``; ``order``: ``site`` or ``date_time``.
+
+    The games are dealt to the files as typed rows and made text after that, so the shuffle and
+    the look for its ranges, which reads its input a second time, do without the text.  Without
+    ``files``, each core writes ``FILES_PER_CORE`` of them, so a slow one holds up little."""
+    spark = games.sparkSession
+    dealt = _deal(with_names(games, users), files or dump_files(spark), order, "site")
+    return _write(records(tags_of(dealt)), path or scratch_path(spark, "pgn"), "bzip2", mode)
+
+
+def dump_files(spark: SparkSession) -> int:
+    return FILES_PER_CORE * spark.sparkContext.defaultParallelism
+
+
+def _deal(rows: DataFrame, files: int, order: str, key: str) -> DataFrame:
+    return rows.repartitionByRange(files, order, key).sortWithinPartitions(order, key)
+
+
+def _write(records: DataFrame, path: str, compression: str, mode: str) -> str:
+    records.select("value").write.mode(mode).option("compression", compression).text(path)
+    return path
