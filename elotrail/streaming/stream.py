@@ -15,13 +15,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.ingest import ingest_tags
 from ..sources.pgn import RECORD_SEP, encode_games, parse_tags, split_records, with_position
 
+SEGMENT_LINES = 1 << 19  # lines in a file of the message log
+
 LINE_SCHEMA = T.StructType([
     T.StructField("key", T.StringType()),
     T.StructField("partition", T.IntegerType()),
@@ -85,17 +87,21 @@ def replay_lines(spark: SparkSession, dump_paths, out: str) -> str:
 
     With a Kafka connector the same frame goes to
     ``write.format("kafka")`` with the key column as the message key."""
-    lines = spark.read.text(dump_paths)
-    log = lines.select(
+    text = spark.read.option("lineSep", RECORD_SEP).text(dump_paths)
+    records = text.select(
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("key"),
-        F.lit(0).alias("partition"),
-        F.monotonically_increasing_id().alias("offset"),
-        F.col("value")).filter(F.trim("value") != "")
-    # Like a topic partition: all messages of a key in one file, in offset
-    # order (a file stream orders files by modification time only, so a key
-    # spread over files written by parallel tasks could arrive out of order).
-    log.repartition("key").sortWithinPartitions("key", "offset") \
-        .write.mode("append").parquet(out)
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), "value")
+    # Like a topic partition: one task writes all messages of a key, in offset order (a file
+    # stream orders files by modification time only, so a key written by parallel tasks could
+    # arrive out of order), ``SEGMENT_LINES`` to a file.  What the shuffle moves and sorts are
+    # whole records; they become lines behind it.
+    records = records.repartition("key").sortWithinPartitions("key", "file", "pos")
+    first = F.row_number().over(Window.partitionBy("key", "file").orderBy("pos")) == 1
+    whole = F.when(F.col("first"), F.col("value")).otherwise(F.concat(F.lit(RECORD_SEP[1:]), F.col("value")))
+    lines = (records.withColumn("first", first).select("key", F.explode(F.split(whole, "\r\n|\r|\n")).alias("value"))
+             .filter(F.trim("value") != ""))
+    (lines.select("key", F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"), "value")
+     .write.mode("append").option("maxRecordsPerFile", SEGMENT_LINES).parquet(out))
     return out
 
 
@@ -145,8 +151,7 @@ def _assemble_group(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
     lines between are passed over; state keeps the open record between
     micro-batches (at most one game's lines).  Memory per call is one key's
     lines of one micro-batch: ``maxOffsetsPerTrigger`` bounds it for a topic,
-    the size of a file for the file log.  This is the small path; whole
-    records from landing files (T4) are the one that scales."""
+    ``SEGMENT_LINES`` times the files of a trigger for the file log."""
     pdf = pd.concat(list(batches)).sort_values("offset")
     if state.exists:
         lines_s, first = state.get
@@ -173,7 +178,8 @@ def _assemble_group(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
 
 
 def assemble(lines: DataFrame) -> DataFrame:
-    """Keyed state per source file (parallelism = number of keys)."""
+    """Keyed state per source file.  Keys are worked off side by side, as far as a micro-batch
+    holds lines of several: let it take in a file of the log for each key (``max_files``)."""
     return lines.groupBy("key").applyInPandasWithState(
         _assemble_group, ASSEMBLED, PENDING, "append", "NoTimeout")
 
