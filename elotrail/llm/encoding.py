@@ -1,12 +1,13 @@
 """Encode texts with a public tokenizer inside tasks: pieces, cache, byte-balanced batches.
 
 A byte-level BPE tokenizer first cuts a text into pre-tokens and encodes each
-alone.  A single space between two characters that are not white space always
-begins a pre-token, so a text may be split there without changing its ids: that
-is the *safe boundary*.  Long texts are split at safe boundaries into segments,
-segments into pieces (mostly words); a bounded per-worker cache keeps what the
-library gave for a piece, and the missing pieces are encoded in batches of
-about ``BATCH_BYTES``.  For a tokenizer of another kind whole texts are encoded.
+alone.  Some places between two characters always part two pre-tokens, whatever
+stands around them (see ``Encoder._cuts``), so a text may be split there without
+changing its ids.  Texts are cut into such pieces (mostly words and marks) in
+groups of about ``GROUP_BYTES``, Arrow numbers the different pieces of a group, a
+bounded per-worker cache keeps what the library gave for a piece, the missing
+pieces are encoded in batches of about ``BATCH_BYTES``, and Arrow puts the ids in
+the pieces' places.  For a tokenizer of another kind whole texts are encoded.
 """
 
 from __future__ import annotations
@@ -14,20 +15,46 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BATCH_BYTES = 1 << 13      # bytes of missing pieces given to the library at once
-GROUP_CHARS = 1 << 20      # texts are worked off in groups of about so many characters
+GROUP_CHARS = 1 << 20      # whole texts go to the library by about so many characters
+GROUP_BYTES = 1 << 22      # texts are cut into pieces in groups of about so many bytes
 SEGMENT_CHARS = 1 << 20    # longer texts are split at safe boundaries
-CACHE_PIECES = 500_000     # entries; the cache is emptied when full
+CACHE_PIECES = 500_000     # entries; at half as many, those not met since the last time go
+CACHE_BYTES = 100          # longer pieces are not kept
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-LETTERS, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]", "[!-&(-/:-@[-`{-~]"
-#: Latin letters, then marks other than the apostrophe, perhaps a next line of the same:
-#: the pre-tokens are plain to see
-PLAIN = re.compile(f"({LETTERS}+)({MARKS}*)(?:\n({LETTERS}+)({MARKS}*))?")
+
+#: classes of bytes: letters, digits, ASCII marks, the apostrophe, plain white space, the
+#: line end, what may be white space, and anything else (not white space)
+_LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _LINE, _BLANK, _OTHER = range(8)
+
+
+def _classes() -> np.ndarray:
+    c = np.full(256, _OTHER, np.uint8)
+    c[33:48] = c[58:65] = c[91:97] = c[123:127] = _MARK
+    c[48:58], c[65:91], c[97:123] = _DIGIT, _LETTER, _LETTER
+    c[[9, 13, 32]], c[[11, 12, *range(28, 32)]] = _SPACE, _BLANK
+    c[10], c[39] = _LINE, _QUOTE
+    return c
+
+
+def _pairs() -> np.ndarray:
+    """For two neighbours' classes (first * 8 + second): does a pre-token always end between?
+
+    White space never follows another character inside a pre-token.  Letters, digits
+    and marks are pre-tokens of their own; only an apostrophe may draw letters to it."""
+    p = np.zeros((8, 8), bool)
+    p[np.ix_([_LETTER, _DIGIT, _MARK, _QUOTE, _OTHER], [_SPACE, _LINE])] = True
+    p[_LETTER, [_DIGIT, _MARK, _QUOTE]] = p[_DIGIT, [_LETTER, _MARK, _QUOTE]] = True
+    p[_MARK, [_LETTER, _DIGIT]] = True
+    return p.reshape(-1)
+
+
+CLASSES, PAIRS = _classes(), _pairs()
 
 
 def segments(text: str, limit: int = SEGMENT_CHARS) -> Iterator[str]:
@@ -70,7 +97,8 @@ class Encoder:
         return cls._made[path]
 
     def __init__(self, path: str):
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.cut_safely = False
         if path.endswith(".model"):
             import sentencepiece
@@ -83,8 +111,7 @@ class Encoder:
         tok.no_truncation()
         tok.no_padding()
         self.encode_batch = lambda xs: [
-            e.ids for e in tok.encode_batch(xs, add_special_tokens=False)]
-        self.encode_one = lambda x: tok.encode(x, add_special_tokens=False).ids
+            e.ids for e in tok.encode_batch_fast(xs, add_special_tokens=False)]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
@@ -100,16 +127,7 @@ class Encoder:
                 self.width[i] = len(t)
             for a in added:
                 self.width[a["id"]] = len(a["content"].encode())
-            self.tokenize = tok.model.tokenize
-            self.marks: dict[str, list[int]] = {}
-            # an added token inside a plain word would not be seen by the model alone
-            part = re.compile(f"{LETTERS}*{MARKS}*")
-            self.plain = None if any(part.fullmatch(a["content"]) for a in added) else PLAIN
-            # the byte-level alphabet: printable bytes stand for themselves, the others
-            # follow from 256 on in their order
-            own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            rest = [b for b in range(256) if b not in set(own)]
-            self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
+            self.added = [a["content"].encode() for a in added if a["content"]]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as bytes of little-endian unsigned 32-bit integers."""
@@ -117,82 +135,111 @@ class Encoder:
             for batch in byte_batches(texts, GROUP_CHARS):
                 yield from (np.array(x, dtype="<u4").tobytes() for x in self.encode_batch(batch))
             return
-        parts, size = [], 0  # (text's end?, first piece, words that each follow one space)
+        begun: list[bytes] = []  # ids so far of a text that goes on in the next group
+        parts, ends, size = [], [], 0  # segments as bytes, places where texts end
         for text in texts:
-            *before, last = segments(text)
-            parts += [(False, *self._words(s)) for s in before]
-            parts.append((True, *self._words(last)))
-            size += len(text)
-            if size >= GROUP_CHARS:
-                yield from self._join(parts)
-                parts, size = [], 0
-        yield from self._join(parts)
-
-    def _words(self, seg: str) -> tuple[str, list[str], str, set[str]]:
-        """A segment as first piece, words that each follow a safe space, and last piece;
-        and the words that the cache lacks."""
-        first, *words = seg.split(" ")
-        new = set(words).difference(self.cache)
-        if first and first[-1].isspace() or not first and (
-                len(words) < 1 or not words[0] or words[0][0].isspace()) or any(
-                not w or w[0].isspace() or w[-1].isspace() for w in new):
-            first, *words = SAFE.split(seg)  # runs of white space: look at each space
-            last = " " + words.pop() if words and words[-1][-1].isspace() else ""
-            return first, words, last, set(words).difference(self.cache)
-        return first, words, "", new
-
-    def _join(self, parts: list[tuple]) -> Iterator[bytes]:
-        """The ids of each text of a group; words that the cache lacks are encoded first."""
-        new = set().union(*(p[4] for p in parts))
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-            new = set().union(*(p[2] for p in parts))
-        hard = []
-        for w in new:
-            m = self.plain.fullmatch(w) if self.plain else None
-            if m:
-                self.cache[w] = self._word(*m.groups())
-            else:
-                hard.append(w)
-        for batch in byte_batches(sorted(hard)):
-            self.cache.update(zip(batch, self._run([" " + w for w in batch])))
-        ends = [x for p in parts for x in (p[1], p[3]) if x]
-        ends = dict(zip(ends, (np.array(x, dtype="<u4").tobytes()
-                               for x in (self.encode_batch(ends) if ends else ()))))
-        ids, get = [], self.cache.__getitem__
-        for done, first, words, last, _ in parts:
-            ids += [ends.get(first, b""), *map(get, words), ends.get(last, b"")]
-            if done:
-                yield b"".join(ids)
-                ids = []
-
-    def _pre(self, letters: str, marks: str, space: str = "") -> list[int]:
-        """The library's model on a pre-token of letters and one of marks."""
-        if not letters.isascii():
-            letters = letters.encode().decode("latin-1").translate(self.alphabet)
-        if marks not in self.marks:
-            if len(self.marks) > 10_000:
-                self.marks.clear()
-            self.marks[marks] = [t.id for t in self.tokenize(marks)]
-        return [t.id for t in self.tokenize(space + letters)] + self.marks[marks]
-
-    def _word(self, letters: str, marks: str, letters2: str | None, marks2: str | None) -> bytes:
-        """Ids of a plain word after a space."""
-        ids = self._pre(letters, marks, "\u0120")
-        if letters2:
-            if "\n" not in self.marks:
-                self.marks["\n"] = [t.id for t in self.tokenize("\u010a")]
-            ids += self.marks["\n"] + self._pre(letters2, marks2)
-        return array("I", ids).tobytes()
-
-    def _run(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that each end at a safe boundary: the library is called once for
-        the run, and its ids are cut where the pieces' bytes end."""
-        ids = np.array(self.encode_one("".join(pieces)), dtype="<u4")
-        ends = np.cumsum([len(p.encode()) for p in pieces])
-        at = np.cumsum(self.width[ids])
-        cuts = np.searchsorted(at, ends)
-        if not len(at) or at[-1] != ends[-1] or not np.array_equal(at[cuts], ends):
-            return [np.array(x, dtype="<u4").tobytes() for x in self.encode_batch(pieces)]
-        raw, cuts = ids.tobytes(), ((cuts + 1) * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
+            for part in segments(text):
+                if size >= GROUP_BYTES:
+                    yield from self._group(parts, ends, begun)
+                    parts, ends, size = [], [], 0
+                parts.append(part.encode())
+                size += len(parts[-1])
+            ends.append(size)
+        yield from self._group(parts, ends, begun)
+
+    def _group(self, parts: list[bytes], ends: list[int], begun: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text that ends in these segments; ``begun`` is used and kept up."""
+        data = b"".join(parts)
+        starts = self._cuts(data, np.cumsum([0, *map(len, parts)]))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [
+            None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        found = self._find(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(found, pa.large_binary()).take(pieces.indices)
+        _, at, raw = ids.buffers()
+        raw = memoryview(raw or b"")
+        at = np.frombuffer(at, np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
+        a = 0
+        for b in at[np.searchsorted(starts, ends)].tolist():
+            yield b"".join((*begun, raw[a:b]))
+            begun.clear()
+            a = b
+        begun.append(bytes(raw[a:at[-1]]))
+
+    def _cuts(self, data: bytes, parts: np.ndarray) -> np.ndarray:
+        """Places where a pre-token always begins, with those of ``parts`` and both ends.
+
+        Between the classes of ``PAIRS``, and after a line end that is all the white
+        space there; never inside the text of an added token."""
+        b = np.frombuffer(data, np.uint8)
+        c = CLASSES[b]
+        if not data.isascii():
+            at = np.flatnonzero(b == 0xC3)  # U+00C0 to U+00FF, letters but two
+            at = at[(b[at + 1] != 0x97) & (b[at + 1] != 0xB7)]
+            c[at] = c[at + 1] = _LETTER
+            at = np.flatnonzero(b == 0xC2)
+            at = at[(b[at + 1] == 0x85) | (b[at + 1] == 0xA0)]
+            c[at] = c[at + 1] = _BLANK
+            at = np.flatnonzero((b >= 0xE1) & (b <= 0xE3))
+            u = (b[at] & 15).astype(np.int32) << 12 | (b[at + 1] & 63).astype(np.int32) << 6 | b[at + 2] & 63
+            at = at[np.isin(u, [0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+                                0x205F, 0x3000])]
+            c[at] = c[at + 1] = c[at + 2] = _BLANK
+        cut = np.zeros(len(b) + 1, bool)
+        cut[1:-1] = PAIRS[c[:-1] << 3 | c[1:]]
+        for x in self.added:
+            at = data.find(x)
+            while at >= 0:
+                cut[at + 1:at + len(x)] = False
+                at = data.find(x, at + 1)
+        cut[parts] = True
+        at = np.flatnonzero(b[:-1] == 10)
+        at = at[cut[at]] + 1
+        cut[at[(c[at] < _SPACE) | (c[at] == _OTHER)]] = True
+        return np.flatnonzero(cut)
+
+    def _find(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of different pieces, from the cache or else the library.
+
+        A full cache becomes the older one, from which pieces are taken over as they
+        are met, so that what is still in use stays."""
+        found = list(map(self.cache.get, pieces))
+        lost = [i for i, x in enumerate(found) if x is None]
+        older = [self.older.get(pieces[i]) for i in lost]
+        new = [pieces[i] for i, x in zip(lost, older) if x is None]
+        made = self._pieces(new)
+        for i, x in zip(lost, older):
+            found[i] = x = next(made) if x is None else x
+            if len(pieces[i]) <= CACHE_BYTES:
+                self.cache[pieces[i]] = x
+        if len(self.cache) >= CACHE_PIECES // 2:
+            self.older, self.cache = self.cache, {}
+        return found
+
+    def _pieces(self, pieces: list[bytes]) -> Iterator[bytes]:
+        """The library's ids of pieces: many in one run where they cannot touch each other,
+        after a space as they come or else parted by line ends."""
+        kinds: tuple[list[str], ...] = [], [], []
+        order = []
+        for text in map(bytes.decode, pieces):
+            k = text[0] == " "
+            if len(text) == k or text[k].isspace() or text[-1].isspace():
+                k = 2
+            kinds[k].append(text)
+            order.append(k)
+        runs = [iter([x for batch in byte_batches(kind) for x in self._run(batch, sep)])
+                for kind, sep in zip(kinds, ("\n", "", None))]
+        return (next(runs[k]) for k in order)
+
+    def _run(self, pieces: list[str], sep: str | None) -> list[bytes]:
+        """Ids of pieces; with ``sep`` the library is called once for the run, and its ids
+        are cut where the pieces' bytes end."""
+        if sep is not None:
+            ids = np.array(self.encode_batch([sep.join(pieces)])[0], dtype="<u4")
+            sizes = np.array([len(p.encode()) for p in pieces])
+            ends = np.cumsum(sizes + len(sep)) - len(sep)
+            at = np.concatenate(([0], np.cumsum(self.width[ids])))
+            a, b = np.searchsorted(at, ends - sizes), np.searchsorted(at, ends)
+            if at[-1] == ends[-1] and np.array_equal(at[a], ends - sizes) and np.array_equal(at[b], ends):
+                raw = ids.tobytes()
+                return [raw[i:j] for i, j in zip((4 * a).tolist(), (4 * b).tolist())]
+        return [np.array(x, dtype="<u4").tobytes() for x in self.encode_batch(pieces)]

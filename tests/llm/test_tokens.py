@@ -36,6 +36,56 @@ def test_encoder_gives_the_library_ids(limit, monkeypatch):
     assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == library(texts)
 
 
+ODD = [*"aZé×÷ßÿĀжع中 '.,!?;_-09²½", "\n", "\r", "\t", "\x0b", "\x0c", "\x1c", "\x00", "\x7f", "\x85",
+       "\u00a0", "\u0301", "\u1680", "\u180e", "\u2003", "\u2019", "\u201c", "\u2028", "\u202f",
+       "\u205f", "\u3000", "\u3001", "\ufeff", "😀", "<|endoftext|>", "<|endof", "'re", "'S", " ", " ", "\n"]
+
+
+@pytest.mark.parametrize("group", [1 << 22, 40])
+def test_cuts_between_any_two_characters(group, monkeypatch):
+    texts = [x + y + z + "b" for x in ODD for y in ODD for z in ("", " ", "\n", "'")]
+    rng = random.Random(group)
+    texts += ["".join(rng.choices(ODD, k=rng.randint(0, 40))) for _ in range(6000)]
+    monkeypatch.setattr(encoding, "GROUP_BYTES", group)
+    monkeypatch.setattr(encoding.segments, "__defaults__", (15,))
+    enc = encoding.Encoder(tokenizer_path())
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == library(texts)
+
+
+def asked(enc, texts):
+    """The bytes that the library is given for these texts."""
+    sent, give = [], enc.encode_batch
+    enc.encode_batch = lambda xs: sent.extend(xs) or give(xs)
+    try:
+        got = [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)]
+    finally:
+        enc.encode_batch = give
+    assert got == library(texts)
+    return len("".join(sent).encode())
+
+
+def test_known_words_with_new_marks_are_not_encoded_again():
+    enc = encoding.Encoder(tokenizer_path())
+    assert asked(enc, ["one wordabcd other.\nNext größe, last"]) > 0
+    assert asked(enc, ["one wordabcd. other,\nNext größe last", "one, größe.\nNext wordabcd"]) == 0
+
+
+def test_a_full_cache_keeps_what_is_in_use(monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE_PIECES", 200)
+    enc = encoding.Encoder(tokenizer_path())
+    asked(enc, ["x steadyword steadyother"])
+    for i in range(50):
+        new = "".join(f" w{'abcdefghij'[k]}{'klmnopqrst'[i % 10]}{'uvwxy'[i // 10]}" for k in range(10))
+        assert asked(enc, [f"x steadyword steadyother{new}"]) <= len(new)
+        assert len(enc.cache) + len(enc.older) <= 400
+
+
+def test_long_pieces_are_not_kept():
+    enc = encoding.Encoder(tokenizer_path())
+    list(enc.encode(["short " + "x" * 5000]))
+    assert max(map(len, enc.cache)) <= encoding.CACHE_BYTES
+
+
 def test_segments_join_to_the_text_at_safe_boundaries():
     text = "ab cd  ef gh\n ij kl"
     for limit in range(1, 20):
