@@ -54,8 +54,7 @@ def split_records(text: DataFrame) -> DataFrame:
     raw = F.col("value")
     raw = F.when(raw.startswith('"'), F.concat(F.lit("[Event "), raw)).when(
         raw.startswith(BOM), F.substring(raw, 2, 1 << 30)).otherwise(raw)
-    at = F.locate("\n1", F.col("raw"))
-    more = (at == 0) | F.substring("raw", at, F.lit(1 << 30)).contains("\n[")
+    more = F.coalesce(F.get(at_movetext(F.col("raw")), F.lit(1)).contains("\n["), F.lit(True))
     games = F.when(more, F.regexp_extract_all("raw", F.lit(GAME), F.lit(0))).otherwise(F.array("raw"))
     rows = text.select(F.col("_metadata.file_path").alias("file"),
                        F.col("_metadata.file_block_start").alias("block"), raw.alias("raw"))
@@ -69,17 +68,16 @@ def split_records(text: DataFrame) -> DataFrame:
 TAG_LINE = r'(?m)^\[(\w++) "([^"\n]*+(?:"(?!\])[^"\n]*+)*+)"\]'
 
 
-def header(raw: Column) -> Column:
-    """The lines before the movetext: those before the first that starts with 1."""
-    return F.substring_index(raw, "\n1", 1)
+def at_movetext(raw: Column) -> Column:
+    """The lines before the movetext, which is the first line that starts with 1, and what
+    comes after that 1; one element without a movetext."""
+    return F.split(raw, "\n1", 2)
 
 
-def movetext(raw: Column) -> Column:
-    """The first line that starts with 1, NULL without one.  Blank lines and
+def movetext(rest: Column) -> Column:
+    """The movetext line of the text behind its 1, NULL without one.  Blank lines and
     notes before it are passed over."""
-    at = F.locate("\n1", raw)
-    rest = F.substring(raw, at + 1, F.length(raw))
-    return F.when(at > 0, F.rtrim(F.substring_index(rest, "\n", 1), F.lit("\r")))
+    return F.rtrim(F.concat(F.lit("1"), F.substring_index(rest, "\n", 1)), F.lit("\r"))
 
 
 def parse_tags(records: DataFrame) -> DataFrame:
@@ -88,19 +86,21 @@ def parse_tags(records: DataFrame) -> DataFrame:
     Names and values are arrays read from the header once per record; a tag is
     the value at the name's last place, missing or empty -> NULL.  The explode
     of a one-element array keeps the optimiser from copying the parse into
-    filters above it."""
-    head = F.struct(F.reverse(F.regexp_extract_all("head", F.lit(TAG_LINE), F.lit(1))).alias("k"),
+    filters above it, and the generated methods short enough to be compiled."""
+    at = [c for c in ("file", "block", "pos", "open") if c in records.columns]
+    # the place goes through the struct too: a constant one, copied upwards, made a long method
+    head = F.struct(*at, F.reverse(F.regexp_extract_all("head", F.lit(TAG_LINE), F.lit(1))).alias("k"),
                     F.reverse(F.regexp_extract_all("head", F.lit(TAG_LINE), F.lit(2))).alias("v"),
                     F.col("moves"))
-    at = [c for c in ("file", "block", "pos", "open") if c in records.columns]
-    once = (records.select(*at, header(F.col("raw")).alias("head"), movetext(F.col("raw")).alias("moves"))
-            .select(*at, F.explode(F.array(head)).alias("r")))
+    once = (records.select(*at, F.explode(F.array(at_movetext(F.col("raw")))).alias("parts"))
+            .select(*at, F.col("parts")[0].alias("head"), movetext(F.get("parts", F.lit(1))).alias("moves"))
+            .select(F.explode(F.array(head)).alias("r")))
 
     def tag(name: str) -> Column:
         at = F.array_position("r.k", name).cast("int")
         return F.nullif(F.get("r.v", at - 1), F.lit("")).alias(name)
 
-    return once.select(*at, *[tag(t) for t in TAGS], F.col("r.moves").alias("moves"))
+    return once.select(*[F.col(f"r.{c}").alias(c) for c in at], *[tag(t) for t in TAGS], F.col("r.moves").alias("moves"))
 
 
 def join_open(tags: DataFrame) -> DataFrame:

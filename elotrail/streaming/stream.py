@@ -14,7 +14,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,7 +101,9 @@ def replay_lines(spark: SparkSession, dump_paths, out: str) -> str:
     records = records.repartition("key").sortWithinPartitions("key", "file", "pos")
     first = F.row_number().over(Window.partitionBy("key", "file").orderBy("pos")) == 1
     whole = F.when(F.col("first"), F.col("value")).otherwise(F.concat(F.lit(RECORD_SEP[1:]), F.col("value")))
-    lines = (records.withColumn("first", first).select("key", F.explode(F.split(whole, "\r\n|\r|\n")).alias("value"))
+    # one character to split at, for which Java needs no pattern
+    whole = F.when(whole.contains("\r"), F.regexp_replace(whole, "\r\n|\r", "\n")).otherwise(whole)
+    lines = (records.withColumn("first", first).select("key", F.explode(F.split(whole, "\n")).alias("value"))
              .filter(F.trim("value") != ""))
     (lines.select("key", F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"), "value")
      .write.mode("append").option("maxRecordsPerFile", SEGMENT_LINES).parquet(out))
@@ -141,46 +146,109 @@ ASSEMBLED = T.StructType([T.StructField("key", T.StringType()),
                           T.StructField("raw", T.StringType())])
 PENDING = T.StructType([T.StructField("lines", T.StringType()),
                         T.StructField("first_offset", T.LongType())])
-
-
-def _assemble_group(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+PACKED = T.StructType([T.StructField("key", T.StringType()),
+                       T.StructField("first", T.LongType()),
+                       T.StructField("last", T.LongType()),
+                       T.StructField("lines", T.BinaryType())])
+STEP_LINES = 1 << 17  # lines that are assembled at once, more where messages of several tasks interleave
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Messages -> a row for each key of a batch: its offsets and lines as one Arrow stream."""
+    for batch in batches:
+        keys = batch.column("key")
+        different = keys.unique()
+        for key in different:
+            mine = batch.select(["offset", "value"])
+            if len(different) > 1:
+                mine = mine.filter(pc.equal(keys, key) if key.is_valid else pc.is_null(keys))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, mine.schema) as stream:
+                stream.write_batch(mine)
+            ends = pc.min_max(mine.column("offset"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key.as_py()], pa.string()), pa.array([ends["min"].as_py()], pa.int64()),
+                 pa.array([ends["max"].as_py()], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                names=PACKED.names)
+
+
+def _steps(packed: Iterator[pd.DataFrame]) -> Iterator[pa.Table]:
+    """(offset, value) of one key in offset order, some ``STEP_LINES`` at a time."""
+    pieces = sorted((p for pdf in packed for p in zip(pdf["first"], pdf["last"], pdf["lines"])), key=lambda p: p[:2])
+    step, lines, last = [], 0, None
+    for k, (first, end, data) in enumerate(pieces):
+        if lines >= STEP_LINES and first > last:
+            yield pa.concat_tables(step).sort_by("offset")
+            step, lines = [], 0
+        step.append(pa.ipc.open_stream(data).read_all())
+        pieces[k] = None
+        lines, last = lines + len(step[-1]), end if last is None else max(last, end)
+    if step:
+        yield pa.concat_tables(step).sort_by("offset")
+
+
+def _whole_records(offsets: np.ndarray, values: pa.Array):
+    """Records in lines that are in order: (offsets of their first lines, texts, index of the
+    ``[Event`` line that is still open or None, which lines are tags)."""
+    starts = lambda x: pc.fill_null(pc.starts_with(values, x), False).to_numpy(zero_copy_only=False)
+    event, closing, tag = np.flatnonzero(starts("[Event ")), np.flatnonzero(starts("1")), starts("[")
+    if not len(event):
+        return offsets[:0], values[:0], None, tag
+    at = np.append(closing, len(values))[np.searchsorted(closing, event)]
+    closed = at < np.append(event[1:], len(values))
+    first, end = event[closed], at[closed]
+    inside = np.zeros(len(values) + 1, np.int8)
+    inside[first] += 1
+    inside[end] -= 1
+    keep = (np.cumsum(inside[:-1]) > 0) & tag
+    keep[end] = True
+    ends = np.zeros(len(values), bool)
+    ends[end] = True
+    # a blank line stands before the movetext
+    lines = pc.replace_with_mask(values.filter(pa.array(keep)), pa.array(ends[keep]),
+                                 pc.binary_join_element_wise("", values.take(pa.array(end)), "\n"))
+    borders = np.append(0, np.flatnonzero(ends[keep]) + 1).astype(np.int32)
+    raw = pc.binary_join(pa.ListArray.from_arrays(pa.array(borders), lines), "\n")
+    return offsets[first], raw, None if closed[-1] else event[-1], tag
+
+
+def _assemble_group(key, packed: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Lines of one key in offset order -> finished game records.
 
     A ``[Event`` line opens a record (dropping an unfinished one: no tag
     leaks); a movetext line starting with '1' closes it; notes and other
     lines between are passed over; state keeps the open record between
-    micro-batches (at most one game's lines).  Memory per call is one key's
-    lines of one micro-batch: ``maxOffsetsPerTrigger`` bounds it for a topic,
-    ``SEGMENT_LINES`` times the files of a trigger for the file log."""
-    pdf = pd.concat(list(batches)).sort_values("offset")
+    micro-batches (at most one game's lines), which stands before the new lines.
+    Memory per call is one key's packed lines of one micro-batch: ``maxOffsetsPerTrigger``
+    bounds it for a topic, ``SEGMENT_LINES`` times the files of a trigger for the file log."""
+    lines, first = [], None
     if state.exists:
-        lines_s, first = state.get
-        lines = lines_s.split("\n") if lines_s else []
-    else:
+        text, first = state.get
+        lines = text.split("\n") if text else []
+    for step in _steps(packed):
+        values = pa.concat_arrays([pa.array(lines, step.schema.field("value").type), *step.column("value").chunks])
+        offsets = np.append(np.full(len(lines), first if lines else 0, np.int64), step.column("offset").to_numpy())
+        at, raw, still_open, tag = _whole_records(offsets, values)
         lines, first = [], None
-    out_off, out_raw = [], []
-    for off, line in zip(pdf["offset"].tolist(), pdf["value"].tolist()):
-        if line.startswith("[Event "):
-            lines, first = [line], off
-        elif line.startswith("["):
-            if lines:
-                lines.append(line)
-        elif lines and line.startswith("1"):
-            out_off.append(first)
-            out_raw.append("\n".join(lines) + "\n\n" + line)
-            lines, first = [], None
+        if still_open is not None:
+            lines = values[still_open:].filter(pa.array(tag[still_open:])).to_pylist()
+            first = int(offsets[still_open])
+        if len(raw):
+            yield pd.DataFrame({"key": key[0], "offset": at, "raw": raw.to_pandas()})
     if lines:
         state.update(("\n".join(lines), first))
     elif state.exists:
         state.remove()
-    if out_raw:
-        yield pd.DataFrame({"key": key[0], "offset": out_off, "raw": out_raw})
 
 
 def assemble(lines: DataFrame) -> DataFrame:
     """Keyed state per source file.  Keys are worked off side by side, as far as a micro-batch
-    holds lines of several: let it take in a file of the log for each key (``max_files``)."""
-    return lines.groupBy("key").applyInPandasWithState(
+    holds lines of several: let it take in a file of the log for each key (``max_files``).
+
+    The lines of a batch are packed where they are read, so the shuffle and the sort by key
+    move some rows of many lines each instead of every line."""
+    packed = lines.select("key", "offset", "value").mapInArrow(_pack, PACKED)
+    return packed.groupBy("key").applyInPandasWithState(
         _assemble_group, ASSEMBLED, PENDING, "append", "NoTimeout")
 
 
