@@ -52,16 +52,17 @@ def game_stream(spark: SparkSession, landing: str, max_files: int = 1) -> DataFr
 
 
 # --- T5 ---------------------------------------------------------------------
-def dedup(games: DataFrame, keep: str = "35 days") -> DataFrame:
+def dedup(games: DataFrame, keep: str = "35 days", without=()) -> DataFrame:
     """T5: the first row of each game id among those that arrive within ``keep`` of it.
 
     State expires by the time of arrival, not by the games' own time: each micro-batch carries
     its start as event time, so no row is ever late, and a backfilled month comes through
     whole, while the state holds the ids of the last ``keep`` only.  A row that comes back
     later passes; the load (K3) finds its id stored and leaves it out.  Rows
-    without an id are told apart by their content."""
+    without an id are told apart by their content, also by the columns ``without``, which are not
+    returned and so not shuffled."""
     key = F.coalesce("site", F.sha2(F.to_json(F.struct(*games.columns)), 256))
-    arrived = games.withColumns({"_key": key, "_arrived": F.current_timestamp()})
+    arrived = games.withColumns({"_key": key, "_arrived": F.current_timestamp()}).drop(*without)
     return (arrived.withWatermark("_arrived", keep).dropDuplicatesWithinWatermark(["_key"])
             .drop("_key", "_arrived"))
 

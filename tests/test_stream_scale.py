@@ -112,3 +112,48 @@ def test_head_and_movetext(spark, raw):
         F.col("p")[0].alias("head"), movetext(F.get("p", F.lit(1))).alias("moves")).first()
     head, sep, rest = raw.partition("\n1")
     assert r["head"] == head and r["moves"] == ("1" + rest.split("\n")[0].rstrip("\r") if sep else None)
+
+
+class Stop(Exception):
+    pass
+
+
+def test_a_quarter_of_the_files_fills_all_cores(spark, tables, monkeypatch):
+    """One file a core and more in each of the load's micro-batches."""
+    def start(spark, landing, root, checkpoint, max_files):
+        cores, files = spark.sparkContext.defaultParallelism, spark.read.format("binaryFile").load(landing).count()
+        raise Stop(max_files >= cores and files == 4 * max_files)
+
+    monkeypatch.setattr(S, "start_upsert", start)
+    with pytest.raises(Stop) as stopped:
+        L.stream_upsert(spark, *tables)
+    assert stopped.value.args == (True,)
+
+
+def test_both_deliveries_are_read_whole(spark, tables, monkeypatch):
+    """One dump, delivered twice, a quarter of it a micro-batch; state off the heap, in partitions by cores."""
+    rows, files, rendered, held = [], [], [], []
+    game_stream, dump_games = S.game_stream, L.dump_games
+
+    def seeing(spark, landing, max_files=1):
+        files.append((max_files, spark.read.format("binaryFile").load(landing).count()))
+        return game_stream(spark, landing, max_files)
+
+    def run(stream, out, checkpoint):
+        held.append([spark.conf.get(k) for k in (L.STATE_STORE, L.PARTITIONS)])
+        q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        rows.append([p["numInputRows"] for p in q.recentProgress if p["numInputRows"]])
+
+    monkeypatch.setattr(S, "run_to_table", run)
+    monkeypatch.setattr(S, "game_stream", seeing)
+    monkeypatch.setattr(L, "dump_games", lambda *a, **k: (rendered.append(a), dump_games(*a, **k))[1])
+    hdfs, cores = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider", spark.sparkContext.defaultParallelism
+    with settings(spark, {L.PARTITIONS: "50", L.STATE_STORE: hdfs}):
+        got = L.stream_dedup(spark, *tables)
+        assert spark.conf.get(L.PARTITIONS) == "50" and spark.conf.get(L.STATE_STORE) == hdfs
+    assert len(rendered) == 1 and files == 2 * [(files[0][0], 4 * files[0][0])] and files[0][0] >= cores
+    assert [len(r) for r in rows] == [4, 4] and [sum(r) for r in rows] == 2 * [tables[0].count()]
+    assert held == 2 * [[L.ROCKSDB, str(L.STATE_PER_CORE * cores)]]
+    assert got.exceptAll(tables[0]).isEmpty() and got.count() == tables[0].count()
