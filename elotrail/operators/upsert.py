@@ -35,17 +35,35 @@ def upsert_ignore(new: DataFrame, existing: DataFrame | None, key: str,
 
 def upsert_ignore_near(new: DataFrame, existing: DataFrame, key: str, order_cols,
                        partition: str) -> DataFrame:
-    """As ``upsert_ignore``, against a table stored by ``partition``, in two steps that are
-    written (``cut``); ``new`` is a written table too.
+    """As ``upsert_ignore``, against a table stored by ``partition``; ``new`` is a written table
+    too, and ``order_cols`` tell the rows of a key apart.
 
     A row that comes back mostly comes back under its partition value, so the keys of the
     partitions that the batch touches are looked at first; they are pruned at the scan.
-    Only where rows are left do they meet the keys of the other partitions.  A load that
-    brings nothing new reads no more as the table grows."""
+    Only where keys are left do they meet the keys of the other partitions.  A load that
+    brings nothing new reads no more as the table grows.
+
+    All of this is worked out on keys and order alone and written (``cut``), down to the rows
+    that are left out.  Whole rows meet only those: few in a load of new rows, so that the
+    session's broadcast limit mostly spares their shuffle."""
+    order_cols = list(order_cols)
     touched = [r[0] for r in new.select(partition).distinct().collect()]  # months: a few hundred
     here = F.col(partition).isin(touched)
-    unknown = new.join(existing.filter(here).select(key), key, "left_anti")
-    left = cut(first_per_key(unknown, key, order_cols), "unknown")
-    if left.isEmpty():
-        return left
-    return cut(left.join(existing.filter(~here).select(key), key, "left_anti"), "new-rows")
+    # one column is a minimum by hash, a struct would be one by sorting
+    least = F.min(F.struct(*order_cols) if len(order_cols) > 1 else order_cols[0])
+    first = new.groupBy(key).agg(least.alias("_first"))
+    unknown = cut(first.join(existing.filter(here).select(key), key, "left_anti"), "unknown")
+    if unknown.isEmpty():
+        return new.limit(0)
+    fresh = cut(unknown.join(existing.filter(~here).select(key), key, "left_anti"), "new-keys")
+    fresh = fresh.select(F.col(key).alias("_key"), *[
+        (F.col(f"_first.{c}") if len(order_cols) > 1 else F.col("_first")).alias(f"_{c}") for c in order_cols])
+
+    def without(rows: DataFrame, other: DataFrame) -> DataFrame:
+        same = F.col(key).eqNullSafe(F.col("_key"))
+        for c in order_cols:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return rows.join(other, same, "left_anti")
+
+    left_out = cut(without(new.select(key, *order_cols), fresh), "left-out").toDF(*fresh.columns)
+    return without(new, left_out)

@@ -157,3 +157,23 @@ def test_both_deliveries_are_read_whole(spark, tables, monkeypatch):
     assert [len(r) for r in rows] == [4, 4] and [sum(r) for r in rows] == 2 * [tables[0].count()]
     assert held == 2 * [[L.ROCKSDB, str(L.STATE_PER_CORE * cores)]]
     assert got.exceptAll(tables[0]).isEmpty() and got.count() == tables[0].count()
+
+
+@pytest.mark.parametrize("seed, order", [(0, ["pos"]), (1, ["part", "pos"])])
+def test_keys_are_looked_up_on_narrow_rows(spark, monkeypatch, seed, order):
+    """As ``upsert_ignore``, with keys that repeat or are null; what is written before the rows has no more
+    than key and order."""
+    from elotrail.operators import upsert as U
+    rnd, written, cut = random.Random(seed), [], U.cut
+    monkeypatch.setattr(U, "cut", lambda df, name: (written.append(df.columns), cut(df, name))[1])
+    key = lambda n: rnd.choice([None, *map(str, range(n))])
+    new = cut(spark.createDataFrame([(key(60), p, rnd.choice("ab"), f"text {p}") for p in range(100)],
+                                    "site string, pos long, part string, text string"), "new")
+    for old in ([], [(str(k), rnd.choice("abc")) for k in range(0, 60, 1 + seed)]):
+        existing = cut(spark.createDataFrame(old, "site string, part string"), "old")
+        want = U.upsert_ignore(new, existing, "site", order).select(new.columns)
+        got = U.upsert_ignore_near(new, existing, "site", order, "part")
+        assert got.columns == new.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert written and all(set(c) <= {"site", "_first", *order} for c in written)
+    again = U.upsert_ignore_near(new.filter("site IS NOT NULL"), new, "site", order, "part")
+    assert again.columns == new.columns and again.isEmpty()
