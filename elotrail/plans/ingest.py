@@ -248,6 +248,10 @@ def _load(spark: SparkSession, tags: DataFrame, t: Tables) -> dict:
     good, bad = split_checked(checked)
     bad = bad.drop(PARTITION)
     fresh = upsert_ignore_near(good, load_games(spark, t.root), "site", ORDER, PARTITION)
+    # a large month is divided between the tasks that give its rows: of few files, by all cores
+    cores = spark.sparkContext.defaultParallelism
+    if len(checked.inputFiles()) < cores:
+        fresh = fresh.repartition(cores)
     games_added = _append(fresh.select(*GAMES_COLUMNS, PARTITION), t.games, PARTITION)
     # rejects are keyed by their content, so a re-run adds none twice
     content = [c for c in bad.columns if c not in ("block", "pos")]
